@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmill.functions import wikitext
-from corpusmill.llm import bpe, cooccurrence, packing, sampling, splitting
+from corpusmill.llm import bpe, cooccurrence, neardup, packing, sampling, splitting
 from corpusmill.runtime import read, ship
 
 
@@ -22,6 +22,15 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("lift", F.round("lift", 6)).withColumn("odds_ratio", F.round("odds_ratio", 4)).withColumnsRenamed({"item_a": "page_a", "item_b": "page_b"})
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neardup.similar_records(read(spark, sf_dir, "chunks"), "chunk_id", "text", 3, 0.6)
+    return pairs.select(F.col("key_a").alias("chunk_id_a"), F.col("key_b").alias("chunk_id_b"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_groups(read(spark, sf_dir, "chunks"), "chunk_id", "text", 5, 0.8).withColumnRenamed("key", "chunk_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_texts(read(spark, sf_dir, "chunks"), ["chunk_id"], "text", oversized_only=True).where("chunk_id IS NOT NULL").select("chunk_id").distinct()
 
@@ -82,7 +91,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample,
+    "p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample,
     "p8_ids": p8_ids, "p9_containers": p9_containers,
 }
 
@@ -92,6 +101,12 @@ t AS (SELECT count(DISTINCT chunk_id) n FROM entity_links), c AS (SELECT p, coun
 s AS (SELECT a.p pa, b.p pb, count(*) shared FROM l a JOIN l b ON a.chunk_id = b.chunk_id AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= 5),
 f AS (SELECT pa AS page_a, pb AS page_b, shared, ca.n AS n_a, cb.n AS n_b, t.n AS n_records FROM s JOIN c ca ON ca.p = pa JOIN c cb ON cb.p = pb CROSS JOIN t WHERE shared * t.n >= 4 * ca.n * cb.n)
 """
+_SIMILAR = r"""
+WITH RECURSIVE c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL), w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM c),
+g AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - %d + 2), lambda i: array_to_string(w[i:i + %d - 1], ' '))) g FROM w),
+n AS (SELECT chunk_id, count(*) n FROM g GROUP BY 1), o AS (SELECT a.chunk_id ka, b.chunk_id kb, count(*) o FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2),
+p AS (SELECT ka, kb, o, na.n na, nb.n nb FROM o JOIN n na ON na.chunk_id = ka JOIN n nb ON nb.chunk_id = kb WHERE o * %d >= %d * (na.n + nb.n - o))
+"""
 _SHARES = """
 WITH c AS (SELECT chunk_id, book_level, lower(trim(chunk_type)) kind FROM (SELECT DISTINCT chunk_id, book_level, chunk_type FROM chunks WHERE chunk_id IS NOT NULL)),
 z AS (SELECT floor(count(*) / 10)::BIGINT n FROM c),
@@ -104,6 +119,7 @@ ORACLE = {
     "p2_found": _PAIRS + "SELECT page_a, page_b FROM f",
     "p2_pairs": _PAIRS + """SELECT page_a, page_b, shared, n_a, n_b, n_records, round(shared * n_records / (n_a * n_b)::DOUBLE, 6) AS lift,
  round(((shared + 0.5::DOUBLE) * (n_records - n_a - n_b + shared + 0.5::DOUBLE)) / ((n_a - shared + 0.5::DOUBLE) * (n_b - shared + 0.5::DOUBLE)), 4) AS odds_ratio FROM f""",
+    "p4_found": _SIMILAR % (3, 3, 5, 3) + "SELECT ka AS chunk_id_a, kb AS chunk_id_b FROM p",
     "p5_found": rf"SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND len(list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda x: x <> '')) > 380",
     "p6_found": _SHARES + "SELECT book_level, chunk_type FROM r WHERE available < needed",
     "p6_report": _SHARES + "SELECT book_level, chunk_type, available, needed, least(available, needed) AS drawn, greatest(0, needed - available) AS shortfall FROM r",
