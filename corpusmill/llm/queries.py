@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmill.functions import wikitext
-from corpusmill.llm import bpe, cooccurrence, neardup, packing, sampling, splitting
+from corpusmill.llm import bpe, cooccurrence, neardup, packing, residue, sampling, splitting
 from corpusmill.runtime import read, ship
 
 
@@ -90,9 +90,14 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(items, sorted(kinds, key=str)).withColumnRenamed("item", "doc_id")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = residue.residue_documents(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.where("confirmed AND doc_id IS NOT NULL").select("doc_id").distinct()
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample,
-    "p8_ids": p8_ids, "p9_containers": p9_containers,
+    "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found,
 }
 
 _PAIRS = """
