@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmill.functions import wikitext
-from corpusmill.llm import bpe, cooccurrence, neardup, packing, residue, sampling, splitting
+from corpusmill.llm import bpe, cooccurrence, markup, neardup, packing, residue, sampling, splitting
 from corpusmill.runtime import read, ship
 
 
@@ -22,6 +22,17 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("lift", F.round("lift", 6)).withColumn("odds_ratio", F.round("odds_ratio", 4)).withColumnsRenamed({"item_a": "page_a", "item_b": "page_b"})
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = markup.residue_blocks(read(spark, sf_dir, "chunks"), "chunk_id", "text")
+    return found.where("residue IS NOT NULL AND chunk_id IS NOT NULL").select("chunk_id").distinct()
+
+
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = read(spark, sf_dir, "chunks").select(F.lit("chunk").alias("source"), F.col("chunk_id").alias("record"), "text")
+    pages = read(spark, sf_dir, "pages").select(F.lit("page").alias("source"), F.concat_ws(":", "snapshot_no", "pageid", "revid").alias("record"), F.col("wikitext").alias("text"))
+    return markup.clean_texts(chunks.unionByName(pages), ["source", "record"], "text").dropDuplicates(["source", "record"])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = neardup.similar_records(read(spark, sf_dir, "chunks"), "chunk_id", "text", 3, 0.6)
     return pairs.select(F.col("key_a").alias("chunk_id_a"), F.col("key_b").alias("chunk_id_b"))
@@ -96,7 +107,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample,
+    "p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample,
     "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found,
 }
 
