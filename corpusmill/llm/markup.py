@@ -67,31 +67,31 @@ def bucket(feature: str) -> int:
     return h
 
 
-def leaf_blocks(text: str) -> list[tuple[str, str]]:
-    """(path, block) of the lines of a text, long ones in pieces that end with a sentence; the path names what is open around it."""
-    out: list[tuple[str, str]] = []
+def leaf_lines(text: str) -> list[tuple[int, str, str]]:
+    """(line, path, block) of the lines of a text, long ones in pieces that end with a sentence; the path names what is open around it."""
+    out: list[tuple[int, str, str]] = []
     open_: list[str] = []
-    for line in text.split("\n"):
+    for no, line in enumerate(text.split("\n")):
         bare = line.strip()
         if not bare:
             continue
         path = ">".join(open_[-3:])
         if len(bare) <= 160:
-            out.append((path, line))
+            out.append((no, path, line))
         else:
             held = ""
             for s in _sentence.split(line):
                 while len(s) > 600:  # no sentence end in sight: cut at a word
                     k = max(s.rfind(" ", 200, 600), 200)
-                    out.append((path, s[:k]))
+                    out.append((no, path, s[:k]))
                     s = s[k:]
                 if held and held.count(" ") + s.count(" ") > BLOCK_WORDS:
-                    out.append((path, held))
+                    out.append((no, path, held))
                     held = s
                 else:
                     held = f"{held} {s}" if held else s
             if held:
-                out.append((path, held))
+                out.append((no, path, held))
         for mark, name in (("{|", "table"), ("{{", "template"), ("```", "fence"), ("$$", "formula")):
             if mark in line:
                 n = line.count(mark) - line.count({"{|": "|}", "{{": "}}"}.get(mark, "\0"))
@@ -116,6 +116,10 @@ def leaf_blocks(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def leaf_blocks(text: str) -> list[tuple[str, str]]:
+    return [(path, block) for _, path, block in leaf_lines(text)]
+
+
 def block_features(path: str, block: str) -> np.ndarray:
     """Buckets of the tag path, the words and the shapes of signs; signs count with what touches them."""
     feats = [bucket(">" + path), bucket("^" + block.lstrip()[:2]), bucket(f"~{min(6, len(block) // 20)}")]
@@ -391,9 +395,12 @@ def clean_inline(text: str) -> str:
     return re.sub(r"[ \t]+", " ", text).strip()
 
 
-def clean_text(text: str, kinds: np.ndarray | None = None, blocks: list[tuple[str, str]] | None = None) -> str:
-    """Clean text of a marked-up one. Headings become "# " lines, lists "- " lines, code keeps its lines in a fence, formulas keep
-    their source between $$, table rows become lines of cells; templates but quotes, comments, references and categories go."""
+def resolve_constructs(text: str) -> tuple[str, list[str]]:
+    """A text whose constructs of several lines are resolved, and the code blocks taken out of it, which stand as numbered marks.
+
+    Code keeps its lines in a fence, formulas their source between $$, table rows become lines of cells and quote templates
+    lines with their speaker; other templates, comments, references, files and categories go.
+    """
     text = re.sub(r"<!--.*?-->", "", text, flags=re.S)
     text = re.sub(r"<ref\b[^>]*?/>|<ref\b[^>]*>.*?</ref\s*>", "", text, flags=re.S | re.I)
     kept: list[str] = []
@@ -426,23 +433,40 @@ def clean_text(text: str, kinds: np.ndarray | None = None, blocks: list[tuple[st
             quoted.append(text[last : s.start])
             last = s.end
     text = "".join(quoted) + text[last:]
-    out = []
-    labelled = leaf_blocks(text) if blocks is None else blocks
-    for k, (path, block) in enumerate(labelled):
+    return text, kept
+
+
+def assemble(lines: list[tuple[int, str, str]], kinds: np.ndarray, doubt: np.ndarray, kept: list[str], suspect: float = SUSPECT) -> str:
+    """Clean text from labelled blocks: headings become "# " lines and list items "- " lines; only suspected blocks are rewritten."""
+    out: list[str] = []
+    last = -1
+    for (no, _, block), kind, p in zip(lines, kinds.tolist(), doubt.tolist()):
         s = block.strip()
         if m := re.fullmatch(r"\x02(\d+)\x03", s):
-            out.append(kept[int(m.group(1))])
-            continue
-        kind = int(kinds[k]) if kinds is not None else kind_of(path, block)
-        if m := re.fullmatch(r"(={1,6})\s*(.*?)\s*\1", s):
-            out.append("\n" + "#" * len(m.group(1)) + " " + clean_inline(m.group(2)))
+            body = kept[int(m.group(1))]
+        elif m := re.fullmatch(r"(={1,6})\s*(.*?)\s*\1", s):
+            body = "#" * len(m.group(1)) + " " + clean_inline(m.group(2))
         elif kind == 1 and (m := re.match(r"(#{1,6})\s+(.*)", s)):
-            out.append("\n" + m.group(1) + " " + clean_inline(m.group(2)))
-        elif m := re.match(r"([*#;:]+)\s*(\S.*)", s):
-            out.append("- " + clean_inline(m.group(2)))
+            body = m.group(1) + " " + clean_inline(m.group(2))
+        elif kind == 2 and (m := re.match(r"([*#;:]+)\s*(\S.*)", s)):
+            body = "- " + clean_inline(m.group(2))
         else:
-            out.append(clean_inline(s))
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(x for x in out if x.strip())).strip()
+            body = clean_inline(s) if p >= suspect else s
+        if not body.strip():
+            continue
+        if out:
+            out.append(" " if no == last else "\n" if no == last + 1 else "\n\n")
+        out.append(body)
+        last = no
+    return "".join(out).strip()
+
+
+def clean_batch(net: BlockLabeller, texts: list[str]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """Clean texts, and the labels of the blocks that they are made of."""
+    resolved = [resolve_constructs(t) for t in texts]
+    lines = [leaf_lines(t) for t, _ in resolved]
+    labels = net.label([[block_features(p, b) for _, p, b in ls] for ls in lines])
+    return [assemble(ls, k, p, kept) for ls, (k, p), (_, kept) in zip(lines, labels, resolved)], labels
 
 
 def clean_texts(df: DataFrame, keys: list[str], text: str, sample: int = SAMPLE) -> DataFrame:
@@ -453,10 +477,7 @@ def clean_texts(df: DataFrame, keys: list[str], text: str, sample: int = SAMPLE)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = _restore(parameters)
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keys)).to_pylist()]
-            blocks = [leaf_blocks(t) for t in texts]
-            labels = net.label([[block_features(p, b) for p, b in bs] for bs in blocks])
-            made = [clean_text(t) for t in texts]
+            made, labels = clean_batch(net, [t or "" for t in batch.column(len(keys)).to_pylist()])
             count = lambda kind: pa.array([int((k == kind).sum()) for k, _ in labels], pa.int32())
             left = pa.array([int((p >= 0.5).sum()) for _, p in labels], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(made, pa.string()), count(1), count(2), count(3), left], [*keys, "clean_text", "headings", "lists", "code_blocks", "residue_blocks"])
