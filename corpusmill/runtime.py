@@ -63,8 +63,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; exact file sizes for scans, no job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of a plan, from file sizes for scans; rows are counted only where a source gives no size."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else 64 * df.count()
 
 
 def tasks_for(df: DataFrame, task_bytes: int = TASK_BYTES, most: int = 200_000) -> int:
