@@ -4,8 +4,8 @@ A naive Bayes classifier of passages is learned from positive and unlabelled rec
 trusted records: passages that a residue grammar recognizes with certainty, and records made from the grammar's own forms.
 The unlabelled ones are the passages of a bounded sample of documents, whose residue share is estimated while learning. Words, signs and,
 for unknown words, letter trigrams are the features. All documents are then scored passage by passage, in whole sentences
-and in short windows, and a document is a candidate when a passage passes the threshold. A candidate is confirmed by the
-grammar, or by its score alone where the whole document is made of residue passages.
+and in short windows, and a document is a candidate when a passage passes the threshold. A candidate is a case
+when the grammar finds residue around the passages that made it one.
 
 Defined cases
     Null, empty and blank texts are no cases. Very long texts are scored whole. Repeated rows of an id give it once. Wiki
@@ -28,8 +28,6 @@ from corpusmill.runtime import ship
 
 #: Documents of the fitting sample at most, rounds of expectation-maximization, words a window holds, and the candidate threshold in nats.
 SAMPLE, ROUNDS, WINDOW, THRESHOLD = 3000, 5, 6, 3.0
-#: Score above which a document made of nothing else is a case without the grammar.
-CERTAIN = 9.0
 
 # The forms of unfilled places in common template languages, and of values that failed to render.
 UNFILLED = [
@@ -149,10 +147,10 @@ class Scores(dict):
         low = f.lower()
         if low != f and low in self:
             score = self[low]
-        elif f[0].isdigit():
-            score = 0.0
         elif len(f) > 8 and len(set(f)) == 1:
             score = self[f[:8]]
+        elif f[0].isdigit():
+            score = 0.0
         elif f[0].isalpha():
             p = f"^{low[:40]}$"
             score = float(np.mean([self.grams.get(p[k : k + 3], 0.0) for k in range(len(p) - 2)]))
@@ -220,14 +218,14 @@ def fit(texts: list[str], rounds: int = ROUNDS, seed: int = 1) -> Scores:
     return Scores({f: float(odds[k]) for f, k in vocab.items()}, ratio(grams), ratio(signs))
 
 
-def suspect_lines(text: str, scores: Scores, threshold: float = THRESHOLD, window: int = WINDOW) -> tuple[float, float, list[str]]:
-    """The highest score of a passage, the lowest of a sentence, and the parts of the text around passages from the threshold on.
+def suspect_lines(text: str, scores: Scores, threshold: float = THRESHOLD, window: int = WINDOW) -> tuple[float, list[str]]:
+    """The highest score of a passage, and the parts of the text around passages from the threshold on.
 
     Passages are sentences, single features, pairs and windows of a few features.
     """
     found, starts = features(text)
     if not found:
-        return -1e9, -1e9, []
+        return -1e9, []
     s = np.fromiter(map(scores.__getitem__, found), "float64", len(found))
     sentences = np.add.reduceat(s, starts)
     total = np.concatenate([[0.0], np.cumsum(s)])
@@ -240,7 +238,7 @@ def suspect_lines(text: str, scores: Scores, threshold: float = THRESHOLD, windo
     np.maximum(high, np.repeat(sentences, np.diff([*starts.tolist(), len(s)])), out=high)
     best = float(high.max())
     if best < threshold:
-        return best, float(sentences.min()), []
+        return best, []
     hot = np.flatnonzero(high >= threshold)
     spots = [m.span() for m in _feature.finditer(text)]
     parts: list[list[int]] = []
@@ -251,7 +249,7 @@ def suspect_lines(text: str, scores: Scores, threshold: float = THRESHOLD, windo
             parts[-1][1] = max(b, parts[-1][1])
         else:
             parts.append([a, b])
-    return best, float(sentences.min()), [text[a:b] for a, b in parts]
+    return best, [text[a:b] for a, b in parts]
 
 
 def sample_texts(df: DataFrame, key: str, text: str, size: int = SAMPLE) -> list[str]:
@@ -266,6 +264,9 @@ def residue_documents(df: DataFrame, key: str, text: str, sample: int = SAMPLE,
     """Rows (key, score, confirmed) of the candidate documents; confirmed ones are cases."""
     ship(df.sparkSession)
     model = fit(sample_texts(df, key, text, sample))
+    # small samples tell less: no more is asked of a passage than nearly all trusted records reach
+    reached = [suspect_lines(t, model, 1e9)[0] for t in own_records(random.Random(2), 400, [""])]
+    threshold = min(threshold, float(np.quantile(reached, 0.01)))
     tables = df.sparkSession.sparkContext.broadcast((dict(model), model.grams, model.sign))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,12 +276,12 @@ def residue_documents(df: DataFrame, key: str, text: str, sample: int = SAMPLE,
             for i, t in enumerate(batch.column(1).to_pylist()):
                 if t is None or not t.strip():
                     continue
-                high, low, parts = suspect_lines(t, scores, threshold)
+                high, parts = suspect_lines(t, scores, threshold)
                 if high < threshold:
                     continue
                 row.append(i)
                 best.append(high)
-                sure.append(any(map(residue_in, parts)) or low >= CERTAIN)
+                sure.append(any(map(residue_in, parts)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(best, pa.float64()), pa.array(sure, pa.bool_())], [key, "score", "confirmed"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, score double, confirmed boolean")
