@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.runtime import estimated_bytes, ship
+from corpusmill.runtime import ship
 
 #: Bytes of query vectors that are sent to all tasks at once; more queries go in blocks.
 QUERY_BYTES = 32 << 20
@@ -46,7 +46,8 @@ def target_ranks(queries: DataFrame, corpus: DataFrame, digits: int = 9) -> Data
     spark = queries.sparkSession
     ship(spark)
     queries = queries.join(corpus.select(F.col("id").alias("target_id"), F.col("vector").alias("target")), "target_id").select("query_id", "vector", "target")
-    blocks = max(1, -(-estimated_bytes(queries) // QUERY_BYTES))
+    size = queries.agg(F.coalesce(F.sum(F.size("vector") * 16), F.lit(0))).first()[0]
+    blocks = int(max(1, -(-size // QUERY_BYTES)))
     out = None
     for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if blocks > 1 else queries.collect()  # a block within QUERY_BYTES
