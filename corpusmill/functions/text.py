@@ -131,7 +131,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     mid = (p + z * z / (2 * F.nullif(n, F.lit(0.0)))) / den
     half = z * F.sqrt(p * (1 - p) / F.nullif(n, F.lit(0.0)) + z * z / (4 * F.nullif(n * n, F.lit(0.0)))) / den
     zero = F.lit(0.0)
-    return F.coalesce(F.greatest(zero, mid - half), zero), F.coalesce(F.least(F.lit(1.0), mid + half), zero)
+    return F.when(n > 0, F.greatest(zero, mid - half)).otherwise(zero), F.when(n > 0, F.least(F.lit(1.0), mid + half)).otherwise(zero)
 
 
 def fingerprint(c: Column | str, digits: int = 12) -> Column:
