@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmill.runtime import cut, ship, tasks_for
+from corpusmill.runtime import TASK_BYTES, cut, ship
 
 WORDS, SIMILARITY, BLOCK = 5, 0.8, 1500
 _word = re.compile(r"[^\W_]+").findall
@@ -202,7 +202,10 @@ def similar_sets(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     cells = slim.join(groups, "gram").withColumn("b", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     cells = cells.select("gram", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "id")
     work = cells.join(shared.select("id", "size", "grams"), "id").select("gram", "i", "j", "side", "id", "size", "grams")
-    work = work.repartition(4 * tasks_for(shared), "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+    # what is moved: each set once for each of its leading grams that is common
+    moved = cells.join(shared.select("id", F.size("grams").alias("n")), "id").agg(F.coalesce(F.sum(F.col("n") * 8 + 40), F.lit(0))).first()[0]
+    least = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = work.repartition(max(least, -(-moved // TASK_BYTES)), "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
     return work.mapInArrow(_join(str(similarity)), "id_a long, id_b long, overlap long, size_a long, size_b long")
 
 
