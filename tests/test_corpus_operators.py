@@ -304,3 +304,16 @@ def test_wiki_client(spark):
     assert client.redirects(["a_b", "plain"]) == {"a_b": "C"}
     with pytest.raises(tables.InputError):
         wiki.WikiClient("https://other.example/", get, ("wiki.example",))
+
+
+def test_cli_stages(spark, tmp_path, capsys):
+    from corpusmill import cli
+
+    rows = [(1, 0, "Mill", 1, "2026-01-01T00:00:00Z", f"{words(40)} [[Reed]] {{{{stub}}}}", "x"), (2, 0, "Reed", 1, "2026-01-01T00:00:00Z", f"{words(40)}\n== A ==\nMill {words(40)}", "x")]
+    pages, out = str(tmp_path / "pages.parquet"), str(tmp_path / "chunks.parquet")
+    spark.createDataFrame(rows, tables.PAGES).write.parquet(pages)
+    assert cli.main(["chunk", "--input", pages, "--output", out]) == 0
+    assert cli.main(["checks", "--input", out]) == 0
+    assert cli.main(["explore", "--input", pages, "--output", str(tmp_path / "report.md")]) == 0 and "stub" in (tmp_path / "report.md").read_text()
+    assert cli.main(["graph", "--input", pages, "--chunks", out, "--output", str(tmp_path / "links.parquet")]) == 0
+    assert {(r.source_page_id, r.target_page_id) for r in spark.read.parquet(str(tmp_path / "links.parquet")).collect()} == {(1, 2), (2, 1)}
