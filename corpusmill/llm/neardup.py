@@ -3,7 +3,7 @@
 Each text is the set of its n-grams, hashed to 64 bits. Texts with equal sets are one representative with members. The grams of
 all representatives get one global order, rare ones first. Two sets can only be similar enough if they share a gram in the
 first part of their ordered grams, so each set is sent to the groups of those of its leading grams that a second set leads with
-too. In a group the sets are stored in a trie in global order; a set walks the trie, sharing the overlap counted so far with all
+too; of groups with the same sets one is kept. In a group the sets are stored in a trie in global order; a set walks the trie, sharing the overlap counted so far with all
 sets below a node, and leaves subtrees whose length bounds can no longer reach the threshold. A pair is given by the group of
 its first common gram only, so it comes once.
 
@@ -195,10 +195,12 @@ def similar_sets(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # grams of one set only lead the order and can't be common, so they count by their number alone
     shared = single.join(often, "gram").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
     keep = F.ceil(F.col("size") * F.lit(t.numerator) / F.lit(t.denominator) - F.lit(1e-9)).cast("int")
-    shared = shared.select("id", "size", F.col("g.gram").alias("grams"), (F.size("g") - keep + 1).alias("lead")).where("lead > 0")
+    shared = shared.withColumn("lead", F.size("g") - keep + 1).where("lead > 0").select("id", "size", F.col("g.gram").alias("grams"), F.slice("g", F.lit(1), F.col("lead")).alias("leading"))
     shared = cut(shared)
-    slim = shared.select("id", F.explode(F.slice("grams", F.lit(1), F.col("lead"))).alias("gram"))
-    groups = slim.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
+    slim = shared.select("id", F.explode("leading").alias("x")).select("id", "x.n", "x.gram")
+    groups = slim.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), F.col("id"))).alias("s2")).where("m > 1")
+    # groups of the same sets give the same pairs: the first in global order stands for all, as it holds each pair's first common gram
+    groups = groups.groupBy("m", "s1", "s2").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")).select("gram", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
     cells = slim.join(groups, "gram").withColumn("b", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     cells = cells.select("gram", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "id")
     work = cells.join(shared.select("id", "size", "grams"), "id").select("gram", "i", "j", "side", "id", "size", "grams")
