@@ -10,9 +10,9 @@ from corpusmill.runtime import read
 from corpusmill.streaming import logs
 
 LEVELS = {"TAC": 1, "SOS": 1, "TLW": 2, "TGF": 2, "TBM": 3}
-CONFIG = chunking.ChunkConfig(levels=LEVELS, base_url="https://thornreach.example/wiki/")
-KEYWORDS = ["ferry", "harbor", "mill", "wedding", "oath", "winter", "bell", "guild"]
 SPECULATIVE = ["speculation", "theories", "possible origins"]
+CONFIG = chunking.ChunkConfig(levels=LEVELS, titles={f"book {code.lower()}": code for code in LEVELS}, speculative=tuple(SPECULATIVE), base_url="https://thornreach.example/wiki/")
+KEYWORDS = ["ferry", "harbor", "mill", "wedding", "oath", "winter", "bell", "guild"]
 SILENT = r"(?i)^(references|notes|trivia|summary)$"
 GROUPS = [("Character", ["character"]), ("Location", ["place"]), ("Household", ["household"]), ("Object", ["object"]), ("Group", ["guild"]), ("Chapter", ["chapter"])]
 LITERALS = ["[[", "]]", "{{", "}}", "'''", "<ref", "{|", "|}"]

@@ -101,6 +101,21 @@ def test_gold_levels_of_chapters():
     assert chunks(words(30), ns=112)[0]["book_level"] is None
 
 
+def test_the_query_reads_reference_tags_chapters_and_its_speculative_headings():
+    from corpusmill.plans.reference_queries import CONFIG as own
+
+    def read(text, **kw):
+        reader = chunking.PageReader(page(text, **kw), own)
+        return reader.chunks(), reader.notes
+
+    got, _ = read(f'{words(30)}<ref>Book TLW, ch. 9</ref>\n== Possible origins ==\n{words(30)}<ref name="tac2">book tac ch 4</ref><ref name="tac2"/>')
+    assert [(c["citation_codes"], c["book_level"], c["label_provenance"], c["is_speculation"]) for c in got] == [(["TLW"], 2, "citation", False), (["TAC"], 1, "citation", True)]
+    for kw, text in (({"title": "Chapter:Book TGF, 3"}, words(30)), ({"title": "Chapter:Mill"}, f"{words(30)}<ref>Book TGF, ch. 3</ref>")):
+        got, notes = read(text, ns=112, **kw)
+        assert {(c["book_level"], c["label_provenance"]) for c in got} == {(2, "gold")} and notes == []
+    assert read(words(30), ns=112)[1] == ["chapter without a level"]
+
+
 def test_duplicate_headings_get_ids_of_their_own():
     assert len({c["chunk_id"] for c in chunks(f"{words(30)}\n== A ==\n{words(5)}\n== A ==\n{words(5)}")}) == 3
 
