@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
+from dataclasses import fields
+from pathlib import Path
 
 from pyspark.sql import SparkSession, functions as F
 
@@ -16,10 +19,28 @@ def _load(spark: SparkSession, path: str, schema: str):
     return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else tables.read_jsonl(spark, path, schema)
 
 
+def chunk_config(path: str) -> chunking.ChunkConfig:
+    """A JSON object of ChunkConfig's fields; an error without levels, for unknown fields and for titles of codes without a level."""
+    given = json.loads(Path(path).read_text(encoding="utf-8"))
+    if unknown := sorted(given.keys() - {f.name for f in fields(chunking.ChunkConfig)}):
+        raise tables.InputError(f"{path}: unknown fields {', '.join(unknown)}")
+    if not given.get("levels"):
+        raise tables.InputError(f"{path}: no levels")
+    given = {k: tuple(v) if isinstance(v, list) else v for k, v in given.items()}
+    given |= {"levels": {k.upper(): v for k, v in given["levels"].items()}, "titles": {k.lower(): v.upper() for k, v in given.get("titles", {}).items()}}
+    given |= {k: tuple(x.lower() for x in given[k]) for k in ("flags", "speculative", "infoboxes") if k in given}
+    if lost := sorted(set(given["titles"].values()) - given["levels"].keys()):
+        raise tables.InputError(f"{path}: no levels for {', '.join(lost)}")
+    return chunking.ChunkConfig(**given)
+
+
 def _chunk(spark, a) -> int:
     pages = _load(spark, a.input, tables.PAGES)
     pages = pages.orderBy("pageid").limit(a.limit) if a.limit else pages
-    chunking.chunk_pages(pages, chunking.ChunkConfig()).write.mode("overwrite").parquet(a.output)
+    config = chunk_config(a.config) if a.config else chunking.ChunkConfig()
+    if not a.config and not pages.where(F.coalesce(F.col("ns") == config.chapter_ns, F.lit(False)) | F.coalesce(F.col("wikitext").rlike(r"(?i)\{\{\s*ref\s*[|}]|<ref\b"), F.lit(False))).isEmpty():
+        raise tables.InputError(f"{a.input}: has chapters or citations, whose levels --config must give")
+    chunking.chunk_pages(pages, config).write.mode("overwrite").parquet(a.output)
     made = spark.read.parquet(a.output)
     tables.manifest(made.agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("page_id").alias("pages"), F.sum("word_count").alias("words")), a.output.rstrip("/") + ".manifest.json", input=a.input)
     return 0 if a.limit else _report(dq.chunk_checks(made, ["prose", "infobox", "quote"], ["gold", "citation", "llm"], ["[[", "]]", "{{", "}}", "'''"]))
@@ -87,6 +108,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--input", required=True)
     for name in ("--output", "--labels", "--chunks", "--redirects", "--keywords"):
         p.add_argument(name)
+    p.add_argument("--config", help="JSON file with the levels, titles, flags, speculative headings, base_url of the stage chunk")
     p.add_argument("--kind", choices=["pages", "chunks"], default="chunks")
     p.add_argument("--limit", type=int, help="pages of a smoke run")
     p.add_argument("--dry-run", action="store_true")

@@ -332,3 +332,24 @@ def test_cli_stages(spark, tmp_path, capsys):
     assert cli.main(["explore", "--input", pages, "--output", str(tmp_path / "report.md")]) == 0 and "stub" in (tmp_path / "report.md").read_text()
     assert cli.main(["graph", "--input", pages, "--chunks", out, "--output", str(tmp_path / "links.parquet")]) == 0
     assert {(r.source_page_id, r.target_page_id) for r in spark.read.parquet(str(tmp_path / "links.parquet")).collect()} == {(1, 2), (2, 1)}
+
+
+def test_cli_chunk_takes_its_levels_from_a_file(spark, tmp_path):
+    from corpusmill import cli
+
+    texts = [("Mill", 0, f"{words(30)}{{{{ref|one}}}}"), ("Reed", 0, f"{words(30)}<ref>The Second Tale, leaf 3</ref>\n== Rumors ==\n{words(30)}"), ("Chapter:A", 112, f"{{{{Chapter infobox|book=SIX}}}}\n{words(30)}"), ("Chapter:The first tale 2", 112, words(400) + f"\n\n{words(30)}")]
+    pages, out, config = (str(tmp_path / x) for x in ("pages.parquet", "chunks.parquet", "config.json"))
+    spark.createDataFrame([(i, ns, title, 1, None, text, None) for i, (title, ns, text) in enumerate(texts)], tables.PAGES).write.parquet(pages)
+    run = lambda *more: cli.main(["chunk", "--input", pages, "--output", out, *more])
+    with pytest.raises(tables.InputError, match="--config"):
+        run()
+    for bad in ({}, {"levels": {}}, {"levels": {"ONE": 1}, "title": {}}, {"levels": {"ONE": 1}, "titles": {"the second tale": "TWO"}}):
+        (tmp_path / "config.json").write_text(json.dumps(bad))
+        with pytest.raises(tables.InputError):
+            run("--config", config)
+    assert not (tmp_path / "chunks.parquet").exists()
+    (tmp_path / "config.json").write_text(json.dumps({"levels": {"ONE": 1, "TWO": 2, "SIX": 3}, "titles": {"The First Tale": "ONE", "The Second Tale": "TWO"}, "speculative": ["Rumors"], "base_url": "https://w.example/"}))
+    assert run("--config", config) == 0
+    got = {(r.page_id, r.book_level, r.label_provenance, r.is_speculation) for r in spark.read.parquet(out).where("chunk_type = 'prose'").collect()}
+    assert got == {(0, 1, "citation", False), (1, 2, "citation", False), (1, None, None, True), (2, 3, "gold", False), (3, 1, "gold", False)}
+    assert {r.page_url for r in spark.read.parquet(out).where("page_id = 0").collect()} == {"https://w.example/Mill"}
