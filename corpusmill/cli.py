@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession, functions as F
 
 from corpusmill.operators import chunking, evaluation as ev, labeling as lb, links as lk, profiling as pf, quality as dq, sampling as sa
+from corpusmill.plans.reference_queries import exclusion
 from corpusmill.runtime import session
 from corpusmill.sources import tables
 
@@ -79,10 +80,11 @@ def _sample(spark, a) -> int:
 
 def _validate(spark, a) -> int:
     labels = lb.last_wins(_load(spark, a.labels, tables.MANUAL_LABELS), "chunk_id", ["labeled_at"], ["manual_book_level"])
-    pairs = labels.select("chunk_id", F.expr("try_cast(trim(manual_book_level) as int)").alias("actual")).where("actual IS NOT NULL").join(_load(spark, a.input, tables.CHUNKS).select("chunk_id", F.col("book_level").alias("predicted")), "chunk_id")
-    scores = ev.score_pairs(pairs)
-    verdict = ev.gate(scores, scores).first()
-    print(tables.markdown_table(scores, "Scores"), tables.markdown_table(ev.confusion_matrix(pairs, [1, 2, 3]), "Confusion"), f"passed: {verdict.passed}", sep="\n")
+    chunks = _load(spark, a.input, tables.CHUNKS).select("chunk_id", F.col("book_level").alias("predicted"), "chunk_type", "section_heading")
+    pairs = labels.select("chunk_id", F.expr("try_cast(trim(manual_book_level) as int)").alias("actual")).where("actual IS NOT NULL").join(chunks, "chunk_id")
+    scores, refined = ev.score_pairs(pairs), ev.score_pairs(pairs.where(exclusion("chunk_type", "section_heading").isNull()))
+    verdict = ev.gate(scores, refined).first()
+    print(tables.markdown_table(scores, "Scores"), tables.markdown_table(refined, "Refined scores"), tables.markdown_table(ev.confusion_matrix(pairs, [1, 2, 3]), "Confusion"), f"passed: {verdict.passed}", sep="\n")
     return 0 if verdict.passed else 1
 
 

@@ -96,9 +96,9 @@ def manifest(df: DataFrame, path: str, **extra) -> dict:
     return record
 
 
-def markdown_table(df: DataFrame, title: str, limit: int = 200) -> str:
-    """A small aggregate as a table of a report."""
-    rows = df.limit(limit).collect()
+def markdown_table(df: DataFrame, title: str) -> str:
+    """An aggregate as a table of a report, with all its rows."""
+    rows = df.collect()
     cell = lambda v: "" if v is None else f"{v:g}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"

@@ -353,3 +353,22 @@ def test_cli_chunk_takes_its_levels_from_a_file(spark, tmp_path):
     got = {(r.page_id, r.book_level, r.label_provenance, r.is_speculation) for r in spark.read.parquet(out).where("chunk_type = 'prose'").collect()}
     assert got == {(0, 1, "citation", False), (1, 2, "citation", False), (1, None, None, True), (2, 3, "gold", False), (3, 1, "gold", False)}
     assert {r.page_url for r in spark.read.parquet(out).where("page_id = 0").collect()} == {"https://w.example/Mill"}
+
+
+def test_cli_gate_takes_the_refined_scores(spark, tmp_path, capsys):
+    from corpusmill import cli
+
+    rows = [(f"c{i}", 2, "prose", "Plot") for i in range(10)] + [("i0", 1, "infobox", ""), ("i1", 1, "infobox", ""), ("n0", 3, "prose", "Notes")]
+    chunks_, manual = str(tmp_path / "chunks.parquet"), str(tmp_path / "labels.parquet")
+    spark.createDataFrame(rows, "chunk_id string, book_level int, chunk_type string, section_heading string").write.parquet(chunks_)
+    spark.createDataFrame([(r[0], "2", 1.0, "2026-01-01") for r in rows], tables.MANUAL_LABELS).write.parquet(manual)
+    assert cli.main(["validate", "--input", chunks_, "--labels", manual]) == 0
+    assert "passed: True" in capsys.readouterr().out  # 10 of 13 right, 10 of 10 of the refined ones
+
+
+def test_cli_explore_reports_all_templates(spark, tmp_path):
+    from corpusmill import cli
+
+    spark.createDataFrame([(1, 0, "Mill", 1, None, words(30) + "".join(f"{{{{form {i}}}}}" for i in range(250)), None)], tables.PAGES).write.parquet(str(tmp_path / "pages.parquet"))
+    assert cli.main(["explore", "--input", str(tmp_path / "pages.parquet"), "--output", str(tmp_path / "report.md")]) == 0
+    assert sum(line.startswith("| form ") for line in (tmp_path / "report.md").read_text().splitlines()) == 250
