@@ -30,29 +30,34 @@ class Span(NamedTuple):
 def spans(text: str) -> list[Span]:
     """All matched constructs in order of their start; depth counts the constructs around each."""
     open_: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {"{{": [], "[[": [], "{|": []}  # of each kind's openers in open_; "{{" has both sorts of braces
     found: list[tuple[int, int, str]] = []
     names = {"{{": "template", "{{{": "argument", "[[": "link", "{|": "table"}
-    for m in _token.finditer(text):
-        t = m.group()
+    from_ = 0
+    while m := _token.search(text, from_):
+        t, from_ = m.group(), m.end()
         if t.startswith("<!--"):
             found.append((m.start(), m.end(), "comment"))
         elif m.group(1):
             found.append((m.start(), m.end(), m.group(1).lower()))
         elif t in ("{{", "{{{", "[["):
+            places[t[:2]].append(len(open_))
             open_.append((t, m.start()))
         elif t.endswith("{|"):
+            places["{|"].append(len(open_))
             open_.append(("{|", m.end() - 2))
         else:
             want = "{|" if t.endswith("|}") else _closer[t]
-            end = m.end()
-            for back in range(len(open_) - 1, max(-1, len(open_) - 64), -1):
-                have, at = open_[back]
-                if have == want or {have, want} == {"{{", "{{{"}:
-                    if have == "{{" and want == "{{{":  # "}}}" closes a template and leaves a brace
-                        end -= 1
-                    del open_[back:]
-                    found.append((at, end, names[have]))
-                    break
+            if not (own := places[want[:2]]):
+                continue
+            back, end = own[-1], m.end()
+            have, at = open_[back]
+            if have == "{{" and want == "{{{":  # "}}}" closes a template and leaves a brace, which can close another
+                end = from_ = end - 1
+            for k, _ in open_[back:]:
+                places[k[:2]].pop()
+            del open_[back:]
+            found.append((at, end, names[have]))
     found.sort(key=lambda s: (s[0], -s[1]))
     out: list[Span] = []
     around: list[int] = []
@@ -182,16 +187,13 @@ def plain(text: str | None) -> str:
     if not text:
         return ""
     text = _ref.sub("", text)
-    for _ in range(6):  # inner constructs first: each round resolves the spans that hold no other
-        all_spans = spans(text)
-        if not all_spans:
-            break
+    while all_spans := spans(text):  # links and tables from the inside out, until none is left; each round shortens the text
         out, last = [], 0
         for i, s in enumerate(all_spans):
-            if i + 1 < len(all_spans) and all_spans[i + 1].start < s.end and s.kind != "comment" and all_spans[i + 1].depth > s.depth:
-                continue
             if s.start < last:
                 continue
+            if s.kind not in ("template", "argument", "comment") and i + 1 < len(all_spans) and all_spans[i + 1].start < s.end:
+                continue
             out.append(text[last : s.start])
             body = text[s.start : s.end]
             if s.kind == "link":

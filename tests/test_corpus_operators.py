@@ -48,6 +48,12 @@ def test_deep_nesting_takes_linear_time():
     assert len(wikitext.spans("{{a}}" * 5000)) == 5000
 
 
+def test_nesting_of_any_depth_is_matched():
+    assert [(s.start, s.end, s.kind) for s in wikitext.spans("{{a|" + "[[x " * 200 + "}}")] == [(0, 806, "template")]
+    assert len(wikitext.spans("{{a|" * 3000 + "}}" * 3000)) == 3000
+    assert wikitext.plain("a " + "[[x|" * 40 + "b" + "]]" * 40 + "{{c|" * 3000 + "}}" * 3000 + " d") == "a b d"
+
+
 # --- chunking
 
 
@@ -95,6 +101,13 @@ def test_citations_belong_to_the_part_that_holds_them():
     assert tag["citation_codes"] == ["TWO"] and "leaf 3" not in tag["text"]
 
 
+def test_harvest_of_deep_templates():
+    deep = "{{a|" * 40 + "{{quote|Said so.|Ben}}{{ref|two}}" + "}}" * 40
+    got = chunks(f"{{{{Odd infobox|name=Ana|note={deep}}}}}\n{words(30)}")
+    assert [c["chunk_type"] for c in got] == ["infobox", "prose", "quote"]
+    assert got[0]["text"].endswith("Name: Ana") and got[2]["text"].endswith("Said so.\n— Ben")
+
+
 def test_gold_levels_of_chapters():
     assert {c["book_level"] for c in chunks("{{Chapter infobox|book=SIX|n=1}}\n" + words(30), ns=112)} == {3}
     assert {c["label_provenance"] for c in chunks(words(30), ns=112, title="The first tale 3")} == {"gold"}
