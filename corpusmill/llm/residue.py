@@ -71,6 +71,8 @@ _unfilled = re.compile("|".join(UNFILLED))
 _stated = re.compile("|".join(TO_COME + ERRORS + NOTICES), re.I | re.M)
 _syllables = re.compile(rf"(?:{'|'.join(sorted(_lorem, key=len, reverse=True))})+", re.I)
 _keys = re.compile(rf"(?:{'|'.join(sorted(_mash, key=len, reverse=True))})+", re.I)
+_sentence = re.compile(r"(?<=[.!?。])\s+|[.!?。]+(?=\s|$)")
+_repeated = re.compile(r"(?<!\w)(?:[xX]{8,}|(?:(?:n/a|tbd|xxx|tba|todo)[\s,;]+){3,}(?:n/a|tbd|xxx|tba|todo))(?!\w)", re.I)
 _letters = re.compile(r"[^\W\d_]+")
 #: Narrations of such things in an article: a subject that is told of, or words in quotation marks.
 _told = re.compile(r"\b(?:wrote|said|called it|joke|so-called|by internal error of|fatal errors of|was denied to|said to be|readers of|baked cookies)\b|[\"“][^\"”\n]*\b(?:enable|allow)\b", re.I)
@@ -91,12 +93,26 @@ def filler(line: str) -> bool:
     return False
 
 
+def filler_in(line: str) -> bool:
+    """Filler as a whole line, as one of its sentences, or as a run of successive words within it."""
+    if filler(line) or any(filler(s) for s in _sentence.split(line)):
+        return True
+    words = _letters.findall(line)
+    for made, least in ((_syllables, 5), (_keys, 4)):
+        run = 0
+        for w in words:
+            run = run + 1 if made.fullmatch(w) else 0
+            if run >= least:
+                return True
+    return bool(_repeated.search(line))
+
+
 def residue_in(text: str) -> bool:
     """Whether the grammar recognizes residue in the text."""
     if _unfilled.search(text):
         return True
     for line in text.splitlines():
-        if filler(line):
+        if filler_in(line):
             return True
         for m in _stated.finditer(line):
             a = max(line.rfind(e, 0, m.start()) for e in (". ", "! ", "? ")) + 1

@@ -208,6 +208,13 @@ def test_residue_grammar_and_classifier(spark):
     assert residue.residue_documents(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_filler_within_a_line_of_real_text():
+    text = "The mill by the river was kept by a widow for nine years, {} and the ferry of Bana was old before the thaw came to the harbor that winter."
+    for x in ("lorem ipsum dolor sit amet consectetur", "asdf qwer jkl asdf", "n/a n/a n/a n/a n/a", "xxxxxxxxxxxx"):
+        assert residue.residue_in(text.format(x)) and residue.residue_in(text.format(f"it is said. {x}. Then it was sold,"))
+    assert not residue.residue_in(text.format("do sit, or am I to rest,")) and not residue.residue_in(text.format("a test of xx and foo"))
+
+
 def test_labeller_on_held_out_blocks():
     words = "river stone bell mill reed harbor kiln widow".split()
     net = markup.train(markup.made_up(random.Random(1), words, 300), rounds=6)
