@@ -113,7 +113,7 @@ def question_pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, d: str) -> DataFrame:
-    """The page-level tier: chapter, category, reference, mention, none."""
+    """The page-level tier: chapter, template, reference, mention, none, as its SQL has them; the README lists what is left out."""
     p = pages(spark, d)
     codes = lambda pattern: F.array_distinct(F.regexp_extract_all("wikitext", F.lit(pattern), F.lit(1)))
     tier = lb.audit_tier([
