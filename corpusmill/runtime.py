@@ -25,6 +25,7 @@ def session(app: str = "corpusmill", cores: str = "*", partitions: int = 8, memo
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -53,15 +54,33 @@ def ship(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialize `df` in the shared checkpoint folder, so that a lost executor costs no recomputation of its lineage.
 
-    The folder is the one in spark.checkpoint.dir; a temporary one is set only where the session names none (tests, local mode).
+    The folder is the one in spark.checkpoint.dir. Where the session names none, a temporary one is made in local mode (tests);
+    on a cluster, whose machines don't share such a folder, this is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusmill-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
+def partitions_for(spark: SparkSession, n_bytes: int, task_bytes: int = TASK_BYTES, most: int = 200_000) -> int:
+    """Number of partitions in which each holds about `task_bytes` of counted bytes, and no fewer than the shuffle setting.
+
+    Bytes are counted, as rows times their compact size, by the caller: Catalyst's estimates are off by orders of magnitude
+    past a join, an explode or a checkpoint.
+    """
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(most, -(-n_bytes // task_bytes)))
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, from file sizes for scans; rows are counted only where a source gives no size."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
