@@ -1,13 +1,16 @@
 """Records that say nearly the same: an exact set-similarity join over word n-grams, by prefix trees.
 
-Each text is the set of its n-grams, hashed to 64 bits. Texts with equal sets are one representative with members. The grams of
-all representatives get one global order, rare ones first. Two sets can only be similar enough if they share a gram in the
-first part of their ordered grams, so each set is sent to the groups of those of its leading grams that a second set leads with
-too; of groups with the same sets one is kept. In a group the sets are stored in a trie in global order; a set walks the trie, sharing the overlap counted so far with all
-sets below a node, and leaves subtrees whose length bounds can no longer reach the threshold. A pair is given by the group of
-its first common gram only, so it comes once.
-
-A group of more than `BLOCK` sets is cut into blocks, and each pair of blocks is a group of its own: nothing is capped or dropped.
+Each text is the set of its n-grams, hashed. Texts with equal sets are one representative with members. The grams of
+all representatives get one global order, rare ones first: a gram's place is the count of its bucket in a table of fixed size,
+then its hash, so no gram has to be looked up by a join. Two sets can only be similar enough if they share a gram in the
+first part of their ordered grams, and a set that shares its p-th gram first can only be similar to sets up to a size that
+follows from p. So (gram, set, size, place) are moved first, and sets without a partner of fitting size and place in a gram's
+group are left out. For the others, only the grams behind the group's gram are moved. In a group these tails are stored in a
+trie in global order; a set walks the trie, sharing the overlap counted so far with all sets below a node, and leaves subtrees
+whose length bounds can no longer reach the threshold. The group of a pair's first common gram counts its whole overlap.
+
+A group that may have more than `BLOCK` sets is cut into blocks, and each pair of blocks is a group of its own: nothing is capped
+or dropped. Joins are shuffled; only tables of 2 ** `BITS` bytes are broadcast, whatever the size of the corpus.
 
 Defined cases
     Null texts and texts of fewer than n words have no gram and are in no pair. Repeated rows of a key count once. Texts with
@@ -17,6 +20,7 @@ Defined cases
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -24,10 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmill.runtime import TASK_BYTES, cut, ship
+from corpusmill.runtime import cut, partitions_for, ship
 
 WORDS, SIMILARITY, BLOCK = 5, 0.8, 1500
+#: Copies of one set in a block of members, when pairs of records are written out.
+COPIES = 1024
+#: Size of the tables of counts by hash bucket, as a power of two.
+BITS = 23
+#: Bits of a gram's hash that are kept; the bits above hold the level of its count.
+HASH_BITS = 56
 _word = re.compile(r"[^\W_]+").findall
+_LEVELS = np.unique(np.concatenate([np.arange(0, 24), np.ceil(24 * 1.2 ** np.arange(0, 103)).astype("int64")]))[:127]  # counts, each level's highest
 
 
 class _WordHash(dict):
@@ -50,7 +61,7 @@ def gram_hashes(text: str | None, n: int, words: dict[str, int]) -> np.ndarray:
     for k in range(n):
         out = (out ^ h[k : len(h) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(31)
-    return np.unique(out.view("int64"))
+    return np.unique(out & np.uint64((1 << HASH_BITS) - 1)).view("int64")
 
 
 def _sets(n: int):
@@ -67,6 +78,171 @@ def _sets(n: int):
     return run
 
 
+class Tally:
+    """How often hashes fall into each of 2 ** BITS buckets, as levels of a byte; a level's count is at least the true one."""
+
+    def __init__(self, levels: np.ndarray, total: int):
+        self.levels, self.total = levels, total
+
+    def level(self, hashes: np.ndarray) -> np.ndarray:
+        return self.levels[hashes & ((1 << BITS) - 1)]
+
+
+def _tally_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, offsets, counts) of what one task holds; the column is of hashes or of lists of them."""
+    counts = np.zeros(1 << BITS, "uint32")
+    for batch in batches:
+        column = batch.column(0)
+        hashes = (column.flatten() if pa.types.is_list(column.type) else column).to_numpy(zero_copy_only=False)
+        np.add.at(counts, hashes & ((1 << BITS) - 1), np.uint32(1))
+    width = 1 << (BITS - 10)
+    block, offsets, found = [], [], []
+    for k in range(1 << 10):
+        part = counts[k * width : (k + 1) * width]
+        if len(at := np.flatnonzero(part)):
+            block.append(k)
+            offsets.append(at.astype("uint16").tobytes())
+            found.append(part[at].tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(offsets, pa.binary()), pa.array(found, pa.binary())], ["block", "offsets", "counts"])
+
+
+def _tally_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, offsets, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            part = sums.setdefault(block, np.zeros(1 << (BITS - 10), "int64"))
+            part[np.frombuffer(offsets, "uint16")] += np.frombuffer(counts, "uint32")
+    levels = [np.minimum(np.searchsorted(_LEVELS, s), len(_LEVELS) - 1).astype("uint8").tobytes() for s in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary()), pa.array([int(s.sum()) for s in sums.values()], pa.int64())], ["block", "levels", "total"])
+
+
+def tally(hashes: DataFrame) -> Tally:
+    """Count the one column of `hashes` by bucket. 2 ** BITS bytes come to the driver, however many hashes there are."""
+    parts = hashes.mapInArrow(_tally_parts, "block int, offsets binary, counts binary").repartition("block")
+    levels, total = np.zeros(1 << BITS, "uint8"), 0
+    width = 1 << (BITS - 10)
+    for row in parts.mapInArrow(_tally_sums, "block int, levels binary, total long").collect():
+        levels[row.block * width : (row.block + 1) * width] = np.frombuffer(row.levels, "uint8")
+        total += row.total
+    return Tally(levels, total)
+
+
+def _ordered(lists: pa.ListArray, often: Tally) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of a batch of sets in global order, with the sets' offsets. A gram's level stands above its hash, so the order is that of numbers."""
+    flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    offsets = (offsets - offsets[0]).astype("int64")
+    keys = (often.level(flat).astype("int64") << HASH_BITS) | flat
+    return keys[np.lexsort((keys, np.repeat(np.arange(len(lists)), np.diff(offsets))))], offsets
+
+
+def _leading(keys: np.ndarray, offsets: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, place, gram) of the leading grams that a second set can have: those of a level of 1 can't be common."""
+    sizes = np.diff(offsets)
+    lead = sizes - -(-sizes * t.numerator // t.denominator) + 1
+    row = np.repeat(np.arange(len(sizes)), lead)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(lead) - lead, lead)
+    gram = keys[offsets[row] + place]
+    keep = gram >> HASH_BITS > 1
+    return row[keep], place[keep], gram[keep]
+
+
+def _lead_lists(t: Fraction, often):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_leading(*_ordered(batch.column(0), often.value), t)[2])], ["h"])
+
+    return run
+
+
+def _places(t: Fraction, often, leads):
+    """Rows (gram, cell, id, size, place); a cell is a pair of blocks and the side in its lowest bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, offsets = _ordered(batch.column(1), often.value)
+            row, place, gram = _leading(keys, offsets, t)
+            level = leads.value.level(gram)
+            row, place, gram, level = (x[level > 1] for x in (row, place, gram, level))
+            blocks = -(-_LEVELS[level] // BLOCK)
+            ids = batch.column(0).to_numpy()
+            own = ((ids.view("uint64") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype("int64")[row] % blocks
+            at = np.repeat(np.arange(len(row)), blocks)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            own = own[at]
+            cell = (np.minimum(own, other) << 33) | (np.maximum(own, other) << 1) | (own > other)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[at]), pa.array(cell), pa.array(ids[row[at]]), pa.array(np.diff(offsets)[row[at]].astype("int32")), pa.array(place[at].astype("int32"))], ["gram", "cell", "id", "size", "place"])
+
+    return run
+
+
+def _partnered(t: Fraction):
+    """Leave out the sets that have no partner of fitting size and place in their cell; rows come sorted by gram and cell.
+
+    x and y, which first share the grams at places p and q, can reach the threshold only if y's size is at most
+    (|x| - p) * (1 + t) / t - |x|, and x's size at most the same of y.
+    """
+    num, both = t.numerator, t.numerator + t.denominator
+
+    def keep(gram, cell, size, place) -> np.ndarray:
+        pair = cell >> 1
+        starts = np.concatenate([[0], np.flatnonzero((gram[1:] != gram[:-1]) | (pair[1:] != pair[:-1])) + 1])
+        group = np.repeat(np.arange(len(starts)), np.diff([*starts.tolist(), len(gram)]))
+        most = both * (size - place).astype("int64") // num - size
+        out = np.zeros(len(gram), bool)
+        # by size within each group: x needs a y among those up to its `most` whose own `most` is at least x's size
+        order = np.lexsort((size, group))
+        g, s, m = group[order], size[order].astype("int64"), most[order]
+        span = int(max(s.max(), m.max())) + 2
+        scale = g * span
+        upto = np.searchsorted(scale + s, scale + np.minimum(m, span - 1), "right")  # the sets of the group up to this place
+        high = np.maximum.accumulate(scale + m)  # highest `most` so far, groups one above the other
+        rank = np.arange(len(g))
+        first = starts[g]
+        # the highest of those before the set itself, and, for sets after it, of all up to the bound
+        before = np.where(rank > first, high[np.maximum(rank - 1, 0)] - scale, -1)
+        out_before = np.where(rank > first, np.where(upto > rank, before, np.where(upto > first, high[np.maximum(upto - 1, 0)] - scale, -1)), -1) >= s
+        # a set after it is at least as large as x, so it fits if its size is within x's bound and its `most` reaches x's size: the next sets
+        late = np.zeros(len(g), bool)
+        open_ = np.flatnonzero(upto > rank + 1)
+        step = 1
+        while len(open_):
+            late[open_] |= m[open_ + step] >= s[open_]
+            step += 1
+            open_ = open_[(upto[open_] > open_ + step) & ~late[open_]]
+        out[order] = out_before | late
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            gram, cell, size, place = (table[c].to_numpy() for c in ("gram", "cell", "size", "place"))
+            same = (gram == gram[-1]) & (cell >> 1 == cell[-1] >> 1)
+            done = len(gram) - int(same.sum())
+            held = table.slice(done)
+            if done:
+                yield from table.slice(0, done).filter(pa.array(keep(gram[:done], cell[:done], size[:done], place[:done]))).to_batches()
+        if held is not None:
+            yield from held.filter(pa.array(keep(*(held[c].to_numpy() for c in ("gram", "cell", "size", "place"))))).to_batches()
+
+    return run
+
+
+def _in_order(often, seen):
+    """Sets in global order of those representatives (id, grams, h) whose h may be in the tally `seen`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(seen.value.level(batch.column(2).to_numpy()) > 0))
+            keys, offsets = _ordered(batch.column(1), often.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(keys))], ["id", "grams"])
+
+    return run
+
+
 class _Node:
     """A trie node; bounds hold for the sets below it: the smallest whole set, and the most grams from here on."""
 
@@ -104,47 +280,47 @@ class _Trie:
                 node.children[tail[at]] = below
             node, at = below, at + 1
 
-    def probe(self, own: set[int], size: int, t: Fraction) -> list[tuple[int, int]]:
-        """Sets of the trie that overlap enough with `own`, with the overlap; one gram is common to all beforehand."""
+    def probe(self, own: list[int], size: int, t: Fraction) -> list[tuple[int, int]]:
+        """Sets of the trie that overlap enough with `own`, with the overlap; one gram is common to all beforehand.
+
+        Grams come in global order along a path, so what `own` can still share below a node is what it has behind the node's gram.
+        """
         num, both = t.numerator, t.numerator + t.denominator
-        out, stack = [], [(self.root, 1)]
+        held, n = set(own), len(own)
+        out, stack = [], [(self.root, 1, 0)]
         while stack:
-            node, overlap = stack.pop()
+            node, overlap, at = stack.pop()
             for i in node.here:
                 if overlap * both >= num * (size + self.sizes[i]):
                     out.append((i, overlap))
             for gram, below in node.children.items():
                 if isinstance(below, int):
-                    if min(size, self.sizes[below]) * both >= num * (size + self.sizes[below]):
-                        if (full := 1 + len(own.intersection(self.tails[below]))) * both >= num * (size + self.sizes[below]):
+                    if (overlap + min(n - at, len(self.tails[below]))) * both >= num * (size + self.sizes[below]):
+                        if (full := 1 + len(held.intersection(self.tails[below]))) * both >= num * (size + self.sizes[below]):
                             out.append((below, full))
                     continue
-                now = overlap + (gram in own)
-                if (now + min(below.deepest, size - now)) * both >= num * (size + below.least):
-                    stack.append((below, now))
+                behind = bisect_left(own, gram, at)
+                hit = behind < n and own[behind] == gram
+                if (overlap + hit + min(below.deepest, n - behind - hit)) * both >= num * (size + below.least):
+                    stack.append((below, overlap + hit, behind + hit))
         return out
 
 
 def _join(similarity: str):
     t = Fraction(similarity)
 
-    def group(ids: list[int], sides: list[int], sizes: list[int], grams: list[list[int]], gram: int, inner: bool) -> Iterator[tuple[int, int, int, int, int]]:
-        at = [g.index(gram) for g in grams]
-        tails = [g[a + 1 :] for g, a in zip(grams, at)]
+    def group(ids: list[int], sides: list[int], sizes: list[int], tails: list[list[int]], inner: bool) -> Iterator[tuple[int, int, int, int, int]]:
         trie = _Trie(tails, sizes)
-        order = sorted(range(len(ids)), key=lambda i: (sides[i], sizes[i], ids[i]))
-        heads = [set(g[:a]) for g, a in zip(grams, at)]
-        for i in order:
+        for i in sorted(range(len(ids)), key=lambda i: (sides[i], sizes[i], ids[i])):
             if inner or sides[i]:
-                for j, overlap in trie.probe(set(tails[i]), sizes[i], t):
-                    if heads[i].isdisjoint(heads[j]):  # otherwise the group of an earlier common gram gives the pair
-                        yield ids[i], ids[j], overlap, sizes[i], sizes[j]
+                for j, overlap in trie.probe(tails[i], sizes[i], t):
+                    yield (ids[i], ids[j], overlap, sizes[i], sizes[j]) if ids[i] < ids[j] else (ids[j], ids[i], overlap, sizes[j], sizes[i])
             if inner or not sides[i]:
                 trie.insert(i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (gram, i, j, side, id, size, grams), sorted by gram, i, j."""
-        key, ids, sides, sizes, grams = None, [], [], [], []
+        """Rows (gram, cell, id, size, tail), sorted by gram and cell."""
+        key, ids, sides, sizes, tails = None, [], [], [], []
         found: list[tuple[int, int, int, int, int]] = []
 
         def batch_of() -> pa.RecordBatch:
@@ -152,24 +328,25 @@ def _join(similarity: str):
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id_a", "id_b", "overlap", "size_a", "size_b"])
 
-        def close() -> None:
+        def close() -> Iterator[pa.RecordBatch]:
             if len(ids) > 1:
-                found.extend(group(ids, sides, sizes, grams, key[0], key[1] == key[2]))
+                for pair in group(ids, sides, sizes, tails, key[1] >> 32 == key[1] & 0xFFFFFFFF):
+                    found.append(pair)
+                    if len(found) >= 50_000:
+                        yield batch_of()
 
         for batch in batches:
-            flat, offsets = batch.column(6).values.to_numpy(), batch.column(6).offsets.to_numpy()
-            g, i, j, side, id_, size = (batch.column(c).to_numpy().tolist() for c in range(6))
+            flat, offsets = batch.column(4).values.to_numpy(), batch.column(4).offsets.to_numpy()
+            gram, cell, id_, size = (batch.column(c).to_numpy().tolist() for c in range(4))
             for r in range(batch.num_rows):
-                if (now := (g[r], i[r], j[r])) != key:
-                    close()
-                    key, ids, sides, sizes, grams = now, [], [], [], []
+                if (now := (gram[r], cell[r] >> 1)) != key:
+                    yield from close()
+                    key, ids, sides, sizes, tails = now, [], [], [], []
                 ids.append(id_[r])
-                sides.append(side[r])
+                sides.append(cell[r] & 1)
                 sizes.append(size[r])
-                grams.append(flat[offsets[r] : offsets[r + 1]].tolist())
-            if len(found) > 50_000:
-                yield batch_of()
-        close()
+                tails.append(flat[offsets[r] : offsets[r + 1]].tolist())
+        yield from close()
         yield batch_of()
 
     return run
@@ -183,42 +360,54 @@ def gram_sets(df: DataFrame, key: str, text: str, words: int = WORDS) -> tuple[D
     sets = cut(sets.withColumn("s1", F.xxhash64("grams")).withColumn("s2", F.xxhash64(F.lit(7), F.col("grams"))))
     reps = sets.groupBy("s1", "s2", "size").agg(F.min("key").alias("rep"), F.any_value("grams").alias("grams"))
     reps = cut(reps.withColumn("id", F.monotonically_increasing_id()))
-    members = sets.select("s1", "s2", "size", "key").distinct().join(reps.select("s1", "s2", "size", "id"), ["s1", "s2", "size"]).select("id", "key")
+    members = sets.select("s1", "s2", "size", "key").distinct().join(reps.select("s1", "s2", "size", "id").hint("merge"), ["s1", "s2", "size"]).select("id", "key")
     return reps.select("id", "rep", "grams", "size"), members
 
 
 def similar_sets(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (id_a, id_b, overlap, size_a, size_b), once for each pair of sets whose Jaccard similarity reaches the threshold."""
     t = Fraction(str(similarity))
-    single = reps.select("id", "size", F.explode("grams").alias("gram"))
-    often = single.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # grams of one set only lead the order and can't be common, so they count by their number alone
-    shared = single.join(often, "gram").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    keep = F.ceil(F.col("size") * F.lit(t.numerator) / F.lit(t.denominator) - F.lit(1e-9)).cast("int")
-    shared = shared.withColumn("lead", F.size("g") - keep + 1).where("lead > 0").select("id", "size", F.col("g.gram").alias("grams"), F.slice("g", F.lit(1), F.col("lead")).alias("leading"))
-    shared = cut(shared)
-    slim = shared.select("id", F.explode("leading").alias("x")).select("id", "x.n", "x.gram")
-    groups = slim.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), F.col("id"))).alias("s2")).where("m > 1")
-    # groups of the same sets give the same pairs: the first in global order stands for all, as it holds each pair's first common gram
-    groups = groups.groupBy("m", "s1", "s2").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")).select("gram", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
-    cells = slim.join(groups, "gram").withColumn("b", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cells = cells.select("gram", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "id")
-    work = cells.join(shared.select("id", "size", "grams"), "id").select("gram", "i", "j", "side", "id", "size", "grams")
-    # what is moved: each set once for each of its leading grams that is common
-    moved = cells.join(shared.select("id", F.size("grams").alias("n")), "id").agg(F.coalesce(F.sum(F.col("n") * 8 + 40), F.lit(0))).first()[0]
-    least = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = work.repartition(max(least, -(-moved // TASK_BYTES)), "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    return work.mapInArrow(_join(str(similarity)), "id_a long, id_b long, overlap long, size_a long, size_b long")
+    spark = reps.sparkSession
+    broadcast = spark.sparkContext.broadcast  # tallies only: 2 ** BITS bytes
+    often = broadcast(tally(reps.select("grams")))
+    leads = broadcast(tally(reps.select("grams").mapInArrow(_lead_lists(t, often), "h long")))
+    places = reps.select("id", "grams").mapInArrow(_places(t, often, leads), "gram long, cell long, id long, size int, place int")
+    places = places.repartition(partitions_for(spark, leads.value.total * 40), "gram", F.shiftright("cell", 1)).sortWithinPartitions("gram", "cell")
+    places = cut(places.mapInArrow(_partnered(t), "gram long, cell long, id long, size int, place int"))
+    # cells of the same sets give the same pairs: the first in global order stands for all, as it holds each pair's first common gram
+    side = F.when(F.shiftright("cell", 33) == F.shiftright("cell", 1).bitwiseAND(F.lit(0xFFFFFFFF)), -1).otherwise(F.col("cell").bitwiseAND(F.lit(1)))
+    cells = places.groupBy("gram", F.shiftright("cell", 1).alias("pair")).agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id", side)).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), F.col("id"), side)).alias("x2"))
+    cells = cells.groupBy("m", "x1", "x2").agg(F.min(F.struct("gram", "pair")).alias("c")).select("c.gram", "c.pair")
+    places = cut(places.withColumn("pair", F.shiftright("cell", 1)).join(cells.hint("merge"), ["gram", "pair"]).drop("pair"))
+    seen = broadcast(tally(places.select(F.xxhash64("id").alias("h"))))
+    sets = reps.select("id", "grams", F.xxhash64("id").alias("h")).mapInArrow(_in_order(often, seen), "id long, grams array<bigint>")
+    tails = places.join(sets.hint("merge"), "id").select("gram", "cell", "id", "size", F.expr("slice(grams, place + 2, greatest(size - place - 1, 0))").alias("tail"))
+    moved = places.agg(F.coalesce(F.sum(8 * (F.col("size") - F.col("place")) + 40), F.lit(0))).first()[0]
+    work = tails.repartition(partitions_for(spark, moved), "gram", F.shiftright("cell", 1)).sortWithinPartitions("gram", "cell")
+    pairs = work.mapInArrow(_join(str(similarity)), "id_a long, id_b long, overlap long, size_a long, size_b long")
+    # the group of a later common gram can give a pair again, with less of its overlap
+    return pairs.groupBy("id_a", "id_b", "size_a", "size_b").agg(F.max("overlap").alias("overlap")).select("id_a", "id_b", "overlap", "size_a", "size_b")
 
 
 def similar_records(df: DataFrame, key: str, text: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows (key_a, key_b, similarity) with key_a < key_b for all pairs of records, members of equal sets included."""
+    """Rows (key_a, key_b, similarity) with key_a < key_b for all pairs of records, members of equal sets included.
+
+    Members of a set with many copies are taken in blocks, so that no task holds all of them.
+    """
     reps, members = gram_sets(df, key, text, words)
-    pairs = similar_sets(reps, similarity)
-    side = lambda x: members.select(F.col("id").alias(f"id_{x}"), F.col("key").alias(f"key_{x}"))
-    across = pairs.join(side("a"), "id_a").join(side("b"), "id_b").select("key_a", "key_b", (F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))).alias("similarity"))
-    within = side("a").join(side("b"), (F.col("id_a") == F.col("id_b")) & (F.col("key_a") < F.col("key_b"))).select("key_a", "key_b", F.lit(1.0).alias("similarity"))
-    return across.unionByName(within).select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "similarity")
+    members = cut(members)
+    copies = members.groupBy("id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    blocks = cut(copies.select("id", F.ceil(F.col("copies") / COPIES).cast("int").alias("k")))
+    pairs = similar_sets(reps, similarity).select("id_a", "id_b", (F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))).alias("similarity"))
+    pairs = pairs.unionByName(blocks.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity")))
+    members = members.join(blocks.where("k > 1").hint("merge"), "id", "left").select("id", "key", F.pmod(F.xxhash64("key"), F.coalesce("k", F.lit(1))).cast("int").alias("b"))
+    for x in ("a", "b"):
+        large = blocks.where("k > 1").select(F.col("id").alias(f"id_{x}"), "k").hint("merge")
+        pairs = pairs.join(large, f"id_{x}", "left").withColumn(f"b_{x}", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
+    for x in ("a", "b"):
+        pairs = pairs.join(members.select(F.col("id").alias(f"id_{x}"), F.col("b").alias(f"b_{x}"), F.col("key").alias(f"key_{x}")).hint("merge"), [f"id_{x}", f"b_{x}"])
+    pairs = pairs.where((F.col("id_a") != F.col("id_b")) | (F.col("key_a") < F.col("key_b")))
+    return pairs.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "similarity")
 
 
 def similar_groups(df: DataFrame, key: str, text: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -226,20 +415,20 @@ def similar_groups(df: DataFrame, key: str, text: str, words: int = WORDS, simil
     or through others, named by its smallest key. links: similar sets of the record's set. Groups come from label propagation
     with pointer jumping on representatives; labels are written to the shared checkpoint folder in each round."""
     reps, members = gram_sets(df, key, text, words)
-    pairs = cut(similar_sets(reps, similarity).select("id_a", "id_b"))
-    edges = cut(pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).unionByName(pairs.select(F.col("id_b").alias("u"), F.col("id_a").alias("v"))))
+    pairs = similar_sets(reps, similarity).select("id_a", "id_b")
+    edges = cut(pairs.select(F.explode(F.array(F.struct(F.col("id_a").alias("u"), F.col("id_b").alias("v")), F.struct(F.col("id_b").alias("u"), F.col("id_a").alias("v")))).alias("e")).select("e.*"))
     labels = cut(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")))
     while True:
-        near = edges.join(labels.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").groupBy("u").agg(F.min("d").alias("d"))
-        lower = labels.join(near, "u").select("u", F.least("c", "d").alias("n"), F.col("c").alias("was"))
+        near = edges.join(labels.select(F.col("u").alias("v"), F.col("c").alias("d")).hint("merge"), "v").groupBy("u").agg(F.min("d").alias("d"))
+        lower = labels.join(near.hint("merge"), "u").select("u", F.least("c", "d").alias("n"), F.col("c").alias("was"))
         jump = lower.select(F.col("u").alias("n"), F.col("n").alias("nn"))
-        new = cut(lower.join(jump, "n", "left").select("u", F.least("n", F.coalesce("nn", "n")).alias("c"), "was"))
+        new = cut(lower.join(jump.hint("merge"), "n", "left").select("u", F.least("n", F.coalesce("nn", "n")).alias("c"), "was"))
         labels = new.select("u", "c")
         if new.where("c <> was").isEmpty():
             break
     links = edges.groupBy("u").agg(F.count(F.lit(1)).alias("links"))
-    named = reps.select("id", "rep").join(labels.withColumnRenamed("u", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    named = reps.select("id", "rep").join(labels.withColumnRenamed("u", "id").hint("merge"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     names = named.groupBy("c").agg(F.min("rep").alias("group_key"))
     copies = members.groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
-    out = named.join(names, "c").join(copies, "id").join(links.withColumnRenamed("u", "id"), "id", "left").select("id", "group_key", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    return members.join(out, "id").select("key", "group_key", "copies", "links")
+    out = named.join(names.hint("merge"), "c").join(copies.hint("merge"), "id").join(links.withColumnRenamed("u", "id").hint("merge"), "id", "left")
+    return members.join(out.select("id", "group_key", "copies", F.coalesce("links", F.lit(0)).alias("links")).hint("merge"), "id").select("key", "group_key", "copies", "links")
