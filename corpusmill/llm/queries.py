@@ -24,7 +24,7 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = markup.residue_blocks(read(spark, sf_dir, "chunks"), "chunk_id", "text")
-    return found.where("residue IS NOT NULL AND chunk_id IS NOT NULL").select("chunk_id").distinct()
+    return found.where("chunk_id IS NOT NULL").select("chunk_id").distinct()
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
