@@ -1,8 +1,9 @@
 """References to records that do not exist, by table and period.
 
-Keys of parents and references are put into ranges of key order, together. In each range the parents are held as sorted arrays
-and the references are probed in batches by binary search. Both sides are made distinct before they are moved, so a key that
-holds a third of all references is a few rows by then, and the parents of a range are compact.
+Keys of parents and references become codes of 128 bits (integers stand for themselves) and are put into ranges of code order,
+together. In each range the parents are held as sorted arrays and the references are probed in batches by binary search. Both sides
+are reduced before they are moved: references to distinct ones, so that a key that holds a third of them is a few rows, and
+parents to those whose code is in a tally of the references' codes. Ranges are sized by what is left of both sides.
 
 Defined cases
     Null keys on either side are ignored. Keys are compared as written. Repeated references count once; `refs` says how many
@@ -12,31 +13,38 @@ Defined cases
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusmill.runtime import ship, tasks_for
+from corpusmill.operators.tally import tally
+from corpusmill.runtime import cut, partitions_for, ship
 
-RANGE_BYTES = 16 << 20
+#: Bytes of a range, and of one of its rows.
+RANGE_BYTES, ROW_BYTES = 16 << 20, 48
 #: Stands for "no period" among the parents' periods.
 ALWAYS = -(1 << 62)
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One key range: rows (key, period, tag, refs), the parents with tag null."""
+    """One range of codes: rows (c1, c2, period, tag, label, key, refs), the parents with refs null."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
-    table = pa.Table.from_batches(parts)
-    key = table["key"].combine_chunks()
-    key = key.to_numpy(zero_copy_only=False)
+    table = pa.Table.from_batches(parts).combine_chunks()
+    c1, c2 = table["c1"].to_numpy(), table["c2"].to_numpy()
+    # one number for each code, in their order
+    order = np.lexsort((c2, c1))
+    new = np.ones(len(order), bool)
+    new[1:] = (c1[order[1:]] != c1[order[:-1]]) | (c2[order[1:]] != c2[order[:-1]])
+    key = np.empty(len(order), "int64")
+    key[order] = np.cumsum(new)
     period = table["period"].fill_null(ALWAYS).to_numpy()
-    parent = table["tag"].is_null().to_numpy() if hasattr(table["tag"], "is_null") else None
+    parent = table["refs"].is_null().to_numpy()
     pk, pp = key[parent], period[parent]
-    order = np.lexsort((pp, pk)) if pk.dtype != object else np.array(sorted(range(len(pk)), key=lambda i: (pk[i], pp[i])), int)
+    order = np.lexsort((pp, pk))
     pk, pp = pk[order], pp[order]
     probes = np.flatnonzero(~parent)
     for at in range(0, len(probes), 1 << 16):
@@ -59,10 +67,19 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit[hit] = pp[a[hit]] == p[hit]
         missed = ~(there | hit)
         reason = np.where(known & (first < p), "deleted", np.where(known & (last > p), "late", "missing"))
-        yield pa.RecordBatch.from_pydict({
-            "tag": table["tag"].take(pa.array(rows[missed])).combine_chunks(), "label": table["label"].take(pa.array(rows[missed])).combine_chunks(),
-            "key": table["key"].take(pa.array(rows[missed])).combine_chunks(), "reason": pa.array(reason[missed].tolist(), pa.string()), "refs": table["refs"].take(pa.array(rows[missed])).combine_chunks(),
-        })
+        out = table.select(["tag", "label", "key", "refs"]).take(pa.array(rows[missed])).append_column("reason", pa.array(reason[missed].tolist(), pa.string()))
+        yield from out.select(["tag", "label", "key", "reason", "refs"]).to_batches()
+
+
+def _wanted(seen) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Parents (c1, c2, period) whose code may be referred to; repeated ones of a batch come once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(seen.value.level(batch.column(3).to_numpy()) > 0)).select(["c1", "c2", "period"])
+            yield from pa.Table.from_batches([batch]).group_by(batch.schema.names).aggregate([]).select(batch.schema.names).to_batches()
+
+    return run
 
 
 def orphan_keys(references: DataFrame, parents: DataFrame) -> DataFrame:
@@ -71,16 +88,23 @@ def orphan_keys(references: DataFrame, parents: DataFrame) -> DataFrame:
     references: (tag STRING, label STRING, period BIGINT, key); parents: (key, period BIGINT), a null period meaning always.
     A key that the parents have in another period is `deleted` (an earlier one) or `late` (a later one), otherwise `missing`.
     """
-    ship(references.sparkSession)
-    kind = dict(parents.dtypes)["key"]
+    spark = references.sparkSession
+    ship(spark)
+    integral = {"bigint", "int", "smallint", "tinyint"}
+    if dict(parents.dtypes)["key"] in integral and dict(references.dtypes)["key"] in integral:
+        codes = F.col("key").cast("long").alias("c1"), F.lit(0).cast("long").alias("c2")
+    else:
+        codes = F.xxhash64(F.col("key").cast("string")).alias("c1"), F.xxhash64(F.lit(7), F.col("key").cast("string")).alias("c2")
     probes = references.where(F.col("key").isNotNull()).groupBy("tag", "label", "period", "key").agg(F.count(F.lit(1)).alias("refs"))
-    known = parents.where(F.col("key").isNotNull()).select("key", "period").distinct()
-    both = probes.select("key", "period", "tag", "label", "refs").unionByName(
-        known.select("key", "period", F.lit(None).cast("string").alias("tag"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("long").alias("refs"))
-    )
-    ranges = tasks_for(references, RANGE_BYTES)
-    out = both.repartitionByRange(ranges, "key").mapInArrow(_probe, f"tag string, label string, key {kind}, reason string, refs long")
-    return out.select(F.col("tag").alias("table_name"), F.col("label").alias("ref_period"), F.col("key").cast("string").alias("ref_key"), "reason", "refs")
+    probes = cut(probes.select(*codes, "period", "tag", "label", F.col("key").cast("string").alias("key"), "refs"))
+    seen = spark.sparkContext.broadcast(tally(probes.select(F.xxhash64("c1", "c2").alias("h"))))  # of fixed size
+    known = parents.where(F.col("key").isNotNull()).select(*codes, F.col("period").cast("long").alias("period"))
+    known = cut(known.select("c1", "c2", "period", F.xxhash64("c1", "c2").alias("h")).mapInArrow(_wanted(seen), "c1 long, c2 long, period long"))
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("tag", "string"), ("label", "string"), ("key", "string"), ("refs", "long"))]
+    ranges = partitions_for(spark, (seen.value.total + known.count()) * ROW_BYTES, RANGE_BYTES)
+    out = probes.unionByName(known.select("c1", "c2", "period", *none)).repartitionByRange(ranges, "c1", "c2")
+    out = out.mapInArrow(_probe, "tag string, label string, key string, reason string, refs long")
+    return out.select(F.col("tag").alias("table_name"), F.col("label").alias("ref_period"), F.col("key").alias("ref_key"), "reason", "refs")
 
 
 def references(df: DataFrame, table: str, key: str, label: Column, period: Column | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ Defined cases
     `version` counts, a null version being lowest; among equal versions the highest non-null `compare` values. A value that is
     null on one side is no difference for the columns in `null_is_unknown`, and is one for the other columns. Empty table: no
     rows. A table with one snapshot: no rows. Only the named columns are read, so further columns can have any name.
-    Two versions with equal 64-bit row hashes are taken as the same.
+    Two versions with equal 64-bit row hashes are taken as the same. Keys that aren't integers are told apart by 128-bit codes.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmill.runtime import ship, tasks_for
+from corpusmill.runtime import partitions_for, ship
 
-#: Compact bytes of one row in a bucket, and what a bucket should hold of them.
-BUCKET_BYTES = 16 << 20
+#: What a bucket should hold, and the compact bytes of one row in it: snapshot, code of two words and row hash.
+BUCKET_BYTES, ROW_BYTES = 16 << 20, 32
 KINDS = ("added", "removed", "changed")
 
 
@@ -40,8 +40,15 @@ def _differing(snapshots: list[int]):
     """Compare the snapshots of one bucket; rows come sorted by snapshot and key."""
 
     def compare(table: pa.Table) -> pa.Table:
-        s = table["s"].to_numpy()
-        k, h = table["code"].to_numpy(), table["h"].to_numpy()
+        s, h = table["s"].to_numpy(), table["h"].to_numpy()
+        c1, c2 = table["c1"].to_numpy(), table["c2"].to_numpy()
+        # one number for each code, in their order
+        order = np.lexsort((c2, c1))
+        new = np.ones(len(order), bool)
+        new[1:] = (c1[order[1:]] != c1[order[:-1]]) | (c2[order[1:]] != c2[order[:-1]])
+        k = np.empty(len(order), "int64")
+        k[order] = np.cumsum(new) - 1
+        c1, c2 = c1[order[new]], c2[order[new]]
         order = np.lexsort((k, s))
         s, k, h = s[order], k[order], h[order]
         out_s, out_k, out_kind = [], [], []
@@ -62,7 +69,8 @@ def _differing(snapshots: list[int]):
                 out_k.append(keys)
                 out_kind.append(np.full(len(keys), kind, "int8"))
         cat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        return pa.table({"s": cat(out_s, "int64"), "code": cat(out_k, "int64"), "kind": cat(out_kind, "int8")})
+        k = cat(out_k, "int64")
+        return pa.table({"s": cat(out_s, "int64"), "c1": c1[k], "c2": c2[k], "kind": cat(out_kind, "int8")})
 
     return compare
 
@@ -78,21 +86,21 @@ def snapshot_changes(
     ship(df.sparkSession)
     numbers = sorted(r[0] for r in df.select(F.col(snapshot).cast("long")).where(F.col(snapshot).isNotNull()).distinct().collect())  # one row a delivery
     integral = dict(df.dtypes)[key] in ("bigint", "int", "smallint", "tinyint")
-    code = F.col("k").cast("long") if integral else F.xxhash64("k")
+    codes = (F.col("k").cast("long") if integral else F.xxhash64("k")).alias("c1"), (F.lit(0).cast("long") if integral else F.xxhash64(F.lit(7), "k")).alias("c2")
     latest = latest_versions(df, key, snapshot, version, compare)
     hard = [f"c{i}" for i, c in enumerate(compare)]
-    buckets = tasks_for(df.select(snapshot, key, version), BUCKET_BYTES)
-    compact = latest.select("s", code.alias("code"), F.xxhash64("v", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in hard]).alias("h"))
-    bucket = F.pmod(F.xxhash64("code"), F.lit(buckets)).cast("int")
-    found = compact.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_differing(numbers), "s long, code long, kind byte")
+    buckets = partitions_for(df.sparkSession, df.count() * ROW_BYTES, BUCKET_BYTES)
+    compact = latest.select("s", *codes, F.xxhash64("v", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in hard]).alias("h"))
+    bucket = F.pmod(F.xxhash64("c1", "c2"), F.lit(buckets)).cast("int")
+    found = compact.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_differing(numbers), "s long, c1 long, c2 long, kind byte")
 
-    both = latest.select(code.alias("code"), "s", "k", F.struct("v", *hard).alias("r"))
+    both = latest.select(*codes, "s", "k", F.struct("v", *hard).alias("r"))
     previous = dict(zip(numbers[1:], numbers))
     if not previous:
         return both.where("false").select(F.col("s").alias("snapshot_no"), F.col("k").alias("key"), F.lit("").alias("change_kind"), F.col("r.v").alias("old_version"), F.col("r.v").alias("new_version"))
     # each differing key needs its row in this snapshot and in the one before: fetched by one join on (key, snapshot)
-    wanted = found.select("code", F.col("s").alias("now"), "kind", F.explode(F.array(F.col("s"), F.element_at(F.create_map(*[F.lit(x) for p in previous.items() for x in p]), F.col("s")))).alias("s"))
-    rows = wanted.join(both, ["code", "s"]).groupBy("code", "k", "now", "kind").agg(
+    wanted = found.select("c1", "c2", F.col("s").alias("now"), "kind", F.explode(F.array(F.col("s"), F.element_at(F.create_map(*[F.lit(x) for p in previous.items() for x in p]), F.col("s")))).alias("s"))
+    rows = wanted.join(both.hint("merge"), ["c1", "c2", "s"]).groupBy("k", "now", "kind").agg(
         F.max(F.when(F.col("s") == F.col("now"), F.col("r"))).alias("new"), F.max(F.when(F.col("s") != F.col("now"), F.col("r"))).alias("old")
     )
     same = F.col("old.v").eqNullSafe(F.col("new.v"))
