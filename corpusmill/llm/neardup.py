@@ -10,7 +10,7 @@ trie in global order; a set walks the trie, sharing the overlap counted so far w
 whose length bounds can no longer reach the threshold. The group of a pair's first common gram counts its whole overlap.
 
 A group that may have more than `BLOCK` sets is cut into blocks, and each pair of blocks is a group of its own: nothing is capped
-or dropped. Joins are shuffled; only tables of 2 ** `BITS` bytes are broadcast, whatever the size of the corpus.
+or dropped. Joins are shuffled; only tables of fixed size are broadcast, whatever the size of the corpus.
 
 Defined cases
     Null texts and texts of fewer than n words have no gram and are in no pair. Repeated rows of a key count once. Texts with
@@ -28,17 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusmill.operators.tally import LEVELS, Tally, tally
 from corpusmill.runtime import cut, partitions_for, ship
 
 WORDS, SIMILARITY, BLOCK = 5, 0.8, 1500
 #: Copies of one set in a block of members, when pairs of records are written out.
 COPIES = 1024
-#: Size of the tables of counts by hash bucket, as a power of two.
-BITS = 23
 #: Bits of a gram's hash that are kept; the bits above hold the level of its count.
 HASH_BITS = 56
 _word = re.compile(r"[^\W_]+").findall
-_LEVELS = np.unique(np.concatenate([np.arange(0, 24), np.ceil(24 * 1.2 ** np.arange(0, 103)).astype("int64")]))[:127]  # counts, each level's highest
 
 
 class _WordHash(dict):
@@ -78,55 +76,6 @@ def _sets(n: int):
     return run
 
 
-class Tally:
-    """How often hashes fall into each of 2 ** BITS buckets, as levels of a byte; a level's count is at least the true one."""
-
-    def __init__(self, levels: np.ndarray, total: int):
-        self.levels, self.total = levels, total
-
-    def level(self, hashes: np.ndarray) -> np.ndarray:
-        return self.levels[hashes & ((1 << BITS) - 1)]
-
-
-def _tally_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, offsets, counts) of what one task holds; the column is of hashes or of lists of them."""
-    counts = np.zeros(1 << BITS, "uint32")
-    for batch in batches:
-        column = batch.column(0)
-        hashes = (column.flatten() if pa.types.is_list(column.type) else column).to_numpy(zero_copy_only=False)
-        np.add.at(counts, hashes & ((1 << BITS) - 1), np.uint32(1))
-    width = 1 << (BITS - 10)
-    block, offsets, found = [], [], []
-    for k in range(1 << 10):
-        part = counts[k * width : (k + 1) * width]
-        if len(at := np.flatnonzero(part)):
-            block.append(k)
-            offsets.append(at.astype("uint16").tobytes())
-            found.append(part[at].tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(offsets, pa.binary()), pa.array(found, pa.binary())], ["block", "offsets", "counts"])
-
-
-def _tally_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, offsets, counts in zip(*(c.to_pylist() for c in batch.columns)):
-            part = sums.setdefault(block, np.zeros(1 << (BITS - 10), "int64"))
-            part[np.frombuffer(offsets, "uint16")] += np.frombuffer(counts, "uint32")
-    levels = [np.minimum(np.searchsorted(_LEVELS, s), len(_LEVELS) - 1).astype("uint8").tobytes() for s in sums.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary()), pa.array([int(s.sum()) for s in sums.values()], pa.int64())], ["block", "levels", "total"])
-
-
-def tally(hashes: DataFrame) -> Tally:
-    """Count the one column of `hashes` by bucket. 2 ** BITS bytes come to the driver, however many hashes there are."""
-    parts = hashes.mapInArrow(_tally_parts, "block int, offsets binary, counts binary").repartition("block")
-    levels, total = np.zeros(1 << BITS, "uint8"), 0
-    width = 1 << (BITS - 10)
-    for row in parts.mapInArrow(_tally_sums, "block int, levels binary, total long").collect():
-        levels[row.block * width : (row.block + 1) * width] = np.frombuffer(row.levels, "uint8")
-        total += row.total
-    return Tally(levels, total)
-
-
 def _ordered(lists: pa.ListArray, often: Tally) -> tuple[np.ndarray, np.ndarray]:
     """The grams of a batch of sets in global order, with the sets' offsets. A gram's level stands above its hash, so the order is that of numbers."""
     flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
@@ -163,7 +112,7 @@ def _places(t: Fraction, often, leads):
             row, place, gram = _leading(keys, offsets, t)
             level = leads.value.level(gram)
             row, place, gram, level = (x[level > 1] for x in (row, place, gram, level))
-            blocks = -(-_LEVELS[level] // BLOCK)
+            blocks = -(-LEVELS[level] // BLOCK)
             ids = batch.column(0).to_numpy()
             own = ((ids.view("uint64") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype("int64")[row] % blocks
             at = np.repeat(np.arange(len(row)), blocks)
@@ -368,7 +317,7 @@ def similar_sets(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (id_a, id_b, overlap, size_a, size_b), once for each pair of sets whose Jaccard similarity reaches the threshold."""
     t = Fraction(str(similarity))
     spark = reps.sparkSession
-    broadcast = spark.sparkContext.broadcast  # tallies only: 2 ** BITS bytes
+    broadcast = spark.sparkContext.broadcast  # tallies only, which have a fixed size
     often = broadcast(tally(reps.select("grams")))
     leads = broadcast(tally(reps.select("grams").mapInArrow(_lead_lists(t, often), "h long")))
     places = reps.select("id", "grams").mapInArrow(_places(t, often, leads), "gram long, cell long, id long, size int, place int")

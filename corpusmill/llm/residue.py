@@ -19,6 +19,7 @@ from __future__ import annotations
 import pickle
 import random
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -196,20 +197,19 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _read(texts: list[str], tokens: _Tokens, places: bool = False):
-    """Token numbers of the texts one after another, the passages' first places, and each passage's text; with places, where they are in it."""
-    ids: list[int] = []
-    docs: list[int] = []
-    at: list[tuple[int, int]] = []
+def _read(texts: list[str], tokens: _Tokens, places: bool = False) -> tuple[np.ndarray, ...]:
+    """Token numbers of the texts one after another, and the first place of each text; on demand, where in its text each token begins and ends."""
+    ids, docs, begin, end = array("q"), array("q"), array("q"), array("q")
     for text in texts:
         docs.append(len(ids))
         if places:
-            found = list(_token.finditer(text))
-            at += [m.span() for m in found]
-            ids += [tokens[m.group()] for m in found]
+            for m in _token.finditer(text):
+                ids.append(tokens[m.group()])
+                begin.append(m.start())
+                end.append(m.end())
         else:
-            ids += [tokens[m.group()] for m in _token.finditer(text)]
-    return np.array(ids, "int64"), np.array(docs, "int64"), at
+            ids.extend([tokens[m.group()] for m in _token.finditer(text)])
+    return tuple(np.frombuffer(x, "int64") if len(x) else np.empty(0, "int64") for x in (ids, docs, begin, end))
 
 
 def _passages(ids: np.ndarray, docs: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,36 +263,43 @@ def _seen(table: Table, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(hit, yes[at], 0.0), np.where(hit, n[at], 0.0)
 
 
+def _corrected(p: np.ndarray | None, table: Table, hashes: np.ndarray, open_: np.ndarray | None, letters: np.ndarray, base: float) -> np.ndarray:
+    """The probabilities at the open places, corrected by what was seen in one more context; the first context knows all places."""
+    if p is None:
+        yes, n = _seen(table, hashes)
+        first = (yes + base) / (n + 1)
+        return 1 / (1 + (1 - first) / np.maximum(first, 1e-9) * np.exp(-letters))
+    yes, n = _seen(table, hashes[open_])
+    p[open_] = (yes + PRIOR * p[open_]) / (n + PRIOR)
+    return p
+
+
 def _posterior(tables: list[Table], contexts: list[np.ndarray], letters: np.ndarray, base: float) -> np.ndarray:
     """The probability that the token at each place is residue: with each context, what was seen in it corrects what less context told.
 
     More context is asked only at and beside tokens that may be residue.
     """
-    p = np.full(len(letters), base)
-    for k, (table, f) in enumerate(zip(tables, contexts)):
-        if k == 0:
-            yes, n = _seen(table, f)
-            p = (yes + base) / (n + 1)
-            p = 1 / (1 + (1 - p) / np.maximum(p, 1e-9) * np.exp(-letters))
-        else:
-            open_ = _open(p, base)
-            yes, n = _seen(table, f[open_])
-            p[open_] = (yes + PRIOR * p[open_]) / (n + PRIOR)
+    p = None
+    for table, f in zip(tables, contexts):
+        p = _corrected(p, table, f, None if p is None else _open(p, base), letters, base)
     return p
 
 
-def _tables(w: np.ndarray, contexts: list[np.ndarray], letters: np.ndarray, rows: np.ndarray, base: float) -> list[Table]:
-    """Sightings of each context in the given rows."""
+def _tables(w: np.ndarray, contexts: list[np.ndarray], letters: np.ndarray, mask: np.ndarray, base: float) -> tuple[list[Table], np.ndarray]:
+    """Sightings of each context at the places of the mask, and the posterior that they give at all places."""
     out: list[Table] = []
-    mine, letters, w = [f[rows] for f in contexts], letters[rows], w[rows]
-    for k, f in enumerate(mine):
-        open_ = np.arange(len(f)) if k == 0 else _open(_posterior(out, mine, letters, base), base)
-        keys, code = np.unique(f[open_], return_inverse=True)
-        yes, n = np.bincount(code, w[open_], len(keys)), np.bincount(code, minlength=len(keys))
+    p = None
+    for f in contexts:
+        open_ = None if p is None else _open(p, base)
+        use = np.flatnonzero(mask) if open_ is None else open_[mask[open_]]
+        keys, code = np.unique(f[use], return_inverse=True)
+        yes, n = np.bincount(code, w[use], len(keys)), np.bincount(code, minlength=len(keys))
         keep = (yes > 0.5) | (n >= LEAST)
-        keep[:1] = True  # never empty
-        out.append((keys[keep], yes[keep].astype("float32"), n[keep].astype("float32")))
-    return out
+        keep[:1] = True
+        table = (keys[keep], yes[keep].astype("float32"), n[keep].astype("float32")) if len(keys) else (np.zeros(1, "int64"), np.zeros(1, "float32"), np.zeros(1, "float32"))
+        out.append(table)
+        p = _corrected(p, table, f, open_, letters, base)
+    return out, p
 
 
 def _score(p: np.ndarray, base: float, line_end: np.ndarray) -> np.ndarray:
@@ -353,7 +360,7 @@ class Model:
         """The highest probability of residue among the passages of each text; 0 for a text without any."""
         tokens = _Tokens(self.known, self.grams) if tokens is None else tokens
         out = np.zeros(len(texts))
-        ids, docs, _ = _read(texts, tokens)
+        ids, docs, *_ = _read(texts, tokens)
         if len(ids):
             own, cls, ends, letters = tokens.arrays()
             starts, text = _passages(ids, docs, ends)
@@ -396,13 +403,12 @@ def fit(texts: list[str], spots: list[list[tuple[int, int]]] | None = None, roun
     records = own_records(rng, min(made, 300 + 2 * len(texts)), sorted(w for w, n in usual.items() if n > 5) or ["name"])
     every = [*texts, *records]
     tokens = _Tokens()
-    ids, docs, at = _read(every, tokens, places=True)
+    ids, docs, begin, end = _read(every, tokens, places=True)
     own, cls, ends, _ = tokens.arrays()
     starts, text = _passages(ids, docs, ends)
     size = np.diff([*starts.tolist(), len(ids)])
     row = np.repeat(np.arange(len(starts)), size)
     # a trusted token lies in a place that is certain
-    begin, end = np.array(at, "int64").reshape(-1, 2).T
     sure = np.zeros(len(ids), bool)
     sure[docs[len(texts)] if len(texts) < len(docs) else len(ids) :] = True
     for d, found in enumerate([certain(t) for t in texts] if spots is None else spots):
@@ -414,8 +420,9 @@ def fit(texts: list[str], spots: list[list[tuple[int, int]]] | None = None, roun
 
     def known_words(w: np.ndarray) -> frozenset[str]:
         """Words that keep their own form: those that are usual, or that tell of residue."""
-        names = np.array(tokens.names)
-        values, code = np.unique(names, return_inverse=True)
+        number: dict[str, int] = {}
+        code = np.array([number.setdefault(n, len(number)) for n in tokens.names])
+        values = np.array(list(number), dtype=object)
         yes, no = np.bincount(code[ids], w, len(values)), np.bincount(code[ids], 1 - w, len(values))
         odds = np.log((yes + 0.5) / (w.sum() + 1)) - np.log((no + 0.5) / ((1 - w).sum() + 1))
         keep = ((yes + no >= 3) & (odds > 0)) | (yes + no > max(3, 0.0005 * len(ids)))
@@ -442,12 +449,10 @@ def fit(texts: list[str], spots: list[list[tuple[int, int]]] | None = None, roun
             seen[token]
         own, cls, _, letters = seen.arrays()
         contexts, letters, base = _contexts(ids, docs, own, cls), letters[ids], min(float(w.mean()), 0.5)
-        half = fold[row]
         score = np.zeros(len(ids))
         for side in (0, 1):
-            mine = np.flatnonzero(half == side)
-            tables = _tables(w, contexts, letters, np.flatnonzero(half != side), base)
-            score[mine] = _score(_posterior(tables, [f[mine] for f in contexts], letters[mine], base), base, cls[ids[mine]] == _hash("\n"))
+            mine = fold[row] == side
+            score[mine] = _score(_tables(w, contexts, letters, ~mine, base)[1], base, cls[ids] == _hash("\n"))[mine]
         summary = _summary(score, starts)
         scale = np.maximum(summary.std(0), 1e-3)
         scale[-1] = 1.0
@@ -456,7 +461,7 @@ def fit(texts: list[str], spots: list[list[tuple[int, int]]] | None = None, roun
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         # an unlabelled token is residue as far as its passage is, and it itself tells so
         w = np.where(sure, 1.0, (p[row] * (score > 0)).astype("float64"))
-    return Model(_tables(w, contexts, letters, np.arange(len(row)), base), base, known, grams, curve, scale)
+    return Model(_tables(w, contexts, letters, np.ones(len(ids), bool), base)[0], base, known, grams, curve, scale)
 
 
 def labelled_sample(df: DataFrame, key: str, text: str, size: int = SAMPLE) -> tuple[list[str], list[list[tuple[int, int]]]]:
@@ -469,8 +474,8 @@ def labelled_sample(df: DataFrame, key: str, text: str, size: int = SAMPLE) -> t
             spots = [[x for s in certain(t) for x in s] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spots, pa.list_(pa.int32()))], ["h", "t", "spots"])
 
-    near = rows.where(F.shiftright("h", 44) <= share).mapInArrow(label, "h long, t string, spots array<int>")
-    found = near.orderBy("h", "t").limit(size).select("t", "spots").collect()
+    near = rows.where(F.shiftright("h", 44) <= share).orderBy("h", "t").limit(size).repartition(df.sparkSession.sparkContext.defaultParallelism)
+    found = near.mapInArrow(label, "h long, t string, spots array<int>").orderBy("h", "t").select("t", "spots").collect()
     return [r.t for r in found], [list(zip(r.spots[::2], r.spots[1::2])) for r in found]
 
 
