@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from corpusmill.functions import text as T, wikitext
 from corpusmill.runtime import ship
 
+#: Targets of a page that are looked for together.
+PAGE_TARGETS = 4000
+
 # Prefixes of wiki housekeeping namespaces and of links to other wikis, which are never pages of the corpus.
 NAMESPACES = ["category", "category talk", "file", "image", "template", "template talk", "user", "user talk", "talk", "help", "mediawiki", "special", "portal", "forum", "board", "thread", "module"]
 INTERWIKI = ["wikipedia", "wiktionary", "commons", "meta", "w", "en", "es", "de", "fr", "pl", "pt", "it", "ru", "nl", "ja", "zh", "ko", "sv", "no", "fi", "da", "cs", "hu", "tr", "ar", "he", "uk", "el", "ro", "bg", "hr", "sr", "sk", "sl", "lt", "lv", "et", "vi", "th", "id", "ms", "fa", "hi"]
@@ -112,12 +115,35 @@ def type_crosstab(pair_rows: DataFrame, types: DataFrame) -> DataFrame:
     return rows.groupBy(F.least("x", "y").alias("type_a"), F.greatest("x", "y").alias("type_b")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
+class _Phrases:
+    """Finds many phrases in a text at once, in lower case by full folding, as whole words."""
+
+    def __init__(self, phrases: set[str]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for p in phrases:
+            if low := p.casefold():
+                self.automaton.add_word(low, low)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def found(self, text: str) -> set[str]:
+        """The folded phrases that stand in the text between signs, spaces or its ends."""
+        low = text.casefold()
+        word = lambda k: 0 <= k < len(low) and (low[k].isalnum() or low[k] == "_")
+        return {p for end, p in self.automaton.iter(low) if p and not word(end + 1) and not word(end - len(p))} if len(self.automaton) else set()
+
+
 def localized(edge_rows: DataFrame, chunks: DataFrame, titles: DataFrame) -> DataFrame:
     """Rows (chunk_id, source_page_id, target_page_id, target_page_title, direction, match_type) for both directions of each pair.
 
     For each display of a link, in order, the first chunk of the source page, in chunk order, that is not used yet and holds it is
-    a "link" row; every other chunk that holds the target's title is a "text" row, forward if any link goes that way. A page's
-    chunks are gathered once, as an array, and meet its targets in one join; rows are then worked off in Arrow batches.
+    a "link" row; every other chunk that holds the target's title is a "text" row, forward if any link goes that way.
+
+    A page's texts and its targets come to one task, in order and each once, and are held in blocks of `PAGE_TARGETS` targets, however
+    many a page has; texts pass through while all phrases of a block are looked for at once. What is
+    moved is one row for each chunk and block of targets of its page, and one for each target.
 
     chunks: (chunk_id, page_id, chunk_seq, text); edge_rows: (src, dst, displays); titles: (page_id, title).
     """
@@ -125,36 +151,59 @@ def localized(edge_rows: DataFrame, chunks: DataFrame, titles: DataFrame) -> Dat
     none = F.expr("cast(array() as array<string>)")
     both = edge_rows.select("src", "dst", "displays").unionByName(edge_rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), none.alias("displays")))
     both = both.groupBy("src", "dst").agg(F.max_by("displays", F.size("displays")).alias("displays"))
-    named = both.join(titles.select(F.col("page_id").alias("dst"), "title"), "dst")
-    texts = chunks.where("text IS NOT NULL").groupBy(F.col("page_id").alias("src")).agg(F.array_sort(F.collect_list(F.struct("chunk_seq", "chunk_id", "text"))).alias("own"))
-    work = named.join(texts, "src").select("src", "dst", "title", "displays", F.col("own.chunk_id").alias("ids"), F.col("own.text").alias("texts"))
+    named = both.join(titles.select(F.col("page_id").alias("dst"), "title").hint("merge"), "dst")
+    blocks = named.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / PAGE_TARGETS).cast("int").alias("k"))
+    own = named.join(blocks.hint("merge"), "src").select("src", F.pmod(F.xxhash64("dst"), F.col("k")).cast("int").alias("b"), "dst", "title", "displays")
+    texts = chunks.where("text IS NOT NULL").join(blocks.withColumnRenamed("src", "page_id").hint("merge"), "page_id").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    lit = lambda kind: F.lit(None).cast(kind)
+    seq = dict(chunks.dtypes)["chunk_seq"]
+    rows = own.select("src", "b", F.lit(0).alias("part"), lit(seq).alias("chunk_seq"), lit("string").alias("chunk_id"), lit("string").alias("text"), "dst", "title", "displays").unionByName(
+        texts.select(F.col("page_id").alias("src"), "b", F.lit(1).alias("part"), "chunk_seq", "chunk_id", "text", lit("long").alias("dst"), lit("string").alias("title"), lit("array<string>").alias("displays"))
+    )
+    # targets come before the texts of their page
+    rows = rows.repartition("src", "b").sortWithinPartitions("src", "b", "part", "chunk_seq", "chunk_id", "dst").select("src", "b", "chunk_id", "text", "dst", "title", "displays")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                low = [t.casefold() for t in r["texts"]]
-
-                def holds(phrase: str, k: int, low=low, texts=r["texts"]) -> bool:
-                    return phrase.casefold() in low[k] and re.search(rf"(?<!\w){re.escape(phrase)}(?!\w)", texts[k], re.I) is not None
+        key, targets, chunks_of, hits = None, [], [], []
+        phrases: _Phrases | None = None
+        out: list[tuple] = []
 
+        def close() -> None:
+            for dst, title, displays in targets:
                 used: dict[int, tuple[str, str]] = {}
-                for display in r["displays"]:
-                    flat = wikitext.plain(display).strip()
-                    hit = next((k for k in range(len(low)) if flat and k not in used and holds(flat, k)), None)
+                for flat in displays:
+                    hit = next((k for k, found in enumerate(hits) if flat and k not in used and flat.casefold() in found), None)
                     if hit is not None:
                         used[hit] = ("forward", "link")
-                for k in range(len(low)):
-                    if k not in used and r["title"] and holds(r["title"], k):
-                        used[k] = ("forward" if r["displays"] else "reverse", "text")
-                out += [(r["ids"][k], r["src"], r["dst"], r["title"], d, m) for k, (d, m) in used.items()]
+                for k, found in enumerate(hits):
+                    if k not in used and title and title.casefold() in found:
+                        used[k] = ("forward" if displays else "reverse", "text")
+                out.extend((chunks_of[k], key[0], dst, title, d, m) for k, (d, m) in used.items())
+
+        def batch_of() -> pa.RecordBatch:
             columns = list(zip(*out)) if out else [[]] * 6
+            out.clear()
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["chunk_id", "source_page_id", "target_page_id", "target_page_title", "direction", "match_type"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["chunk_id", "source_page_id", "target_page_id", "target_page_title", "direction", "match_type"])
 
-    return work.mapInArrow(run, "chunk_id string, source_page_id long, target_page_id long, target_page_title string, direction string, match_type string")
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["src"], r["b"]) != key:
+                    close()
+                    key, targets, chunks_of, hits, phrases = (r["src"], r["b"]), [], [], [], None
+                if r["dst"] is not None:
+                    targets.append((r["dst"], r["title"], [wikitext.plain(d).strip() for d in r["displays"]]))
+                    continue
+                if phrases is None:
+                    phrases = _Phrases({p for _, title, displays in targets for p in (title, *displays) if p})
+                chunks_of.append(r["chunk_id"])
+                hits.append(phrases.found(r["text"]))
+            if len(out) > 20_000:
+                yield batch_of()
+        close()
+        yield batch_of()
+
+    return rows.mapInArrow(run, "chunk_id string, source_page_id long, target_page_id long, target_page_title string, direction string, match_type string")
 
 
 def resolve_redirects(titles: DataFrame, normalized: DataFrame, redirects: DataFrame, hops: int = 5) -> DataFrame:
@@ -168,7 +217,24 @@ def resolve_redirects(titles: DataFrame, normalized: DataFrame, redirects: DataF
 
 
 def first_titles(links: DataFrame, per_key: int = 5) -> DataFrame:
-    """Rows (target, uses, samples): unresolved targets with the first pages that name them."""
+    """Rows (target, uses, samples): unresolved targets with the first pages that name them, by page id.
+
+    A page is kept only if it is among the lowest of its target in its part of a hash of the pages, so that no task ranks all of a target's pages.
+    """
     rows = links.where("action = 'candidate' AND method IS NULL").groupBy(T.normal_title("target").alias("target"), "page_id").agg(F.count(F.lit(1)).alias("k"))
-    ranked = rows.withColumn("r", F.row_number().over(W.partitionBy("target").orderBy("page_id")))
-    return ranked.groupBy("target").agg(F.sum("k").alias("uses"), F.array_sort(F.collect_list(F.when(F.col("r") <= per_key, F.col("page_id")))).alias("samples"))
+    part = F.pmod(F.xxhash64("page_id"), F.lit(256))
+    few = rows.withColumn("part", part).withColumn("r", F.row_number().over(W.partitionBy("target", "part").orderBy("page_id"))).where(F.col("r") <= per_key)
+    first = few.groupBy("target").agg(F.slice(F.array_sort(F.collect_list("page_id")), 1, per_key).alias("samples"))  # 256 * per_key pages at most
+    return rows.groupBy("target").agg(F.sum("k").alias("uses")).join(first, "target")
+
+
+def comentions(rows: DataFrame, per_bucket: int = 20) -> DataFrame:
+    """Rows (page_a, page_b, chunks, direct, rank): page pairs by the chunks in which one is mentioned on the other's page, the first of each bucket.
+
+    The buckets are the pairs with a link row and those with text rows only. rows: (chunk_id, source_page_id, target_page_id, match_type).
+    """
+    pairs = rows.where("source_page_id <> target_page_id").groupBy(F.least("source_page_id", "target_page_id").alias("page_a"), F.greatest("source_page_id", "target_page_id").alias("page_b"))
+    pairs = pairs.agg(F.count_distinct("chunk_id").alias("chunks"), F.max(F.col("match_type") == "link").alias("direct"))
+    best = [F.desc("chunks"), F.asc("page_a"), F.asc("page_b")]
+    top = [pairs.where(F.col("direct") == d).orderBy(*best).limit(per_bucket) for d in (True, False)]  # Spark keeps per_bucket rows for each task
+    return top[0].unionByName(top[1]).withColumn("rank", F.row_number().over(W.partitionBy("direct").orderBy(*best)))

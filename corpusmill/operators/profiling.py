@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from corpusmill.functions import text as T, wikitext
 from corpusmill.runtime import ship
 
+#: Ranges of values that the distinct values of a group are ordered in.
+RANGES = 1024
+
 
 def histogram(df: DataFrame, value: str, bounds: list[int]) -> DataFrame:
     """Rows (bucket_no, bucket, n) of half-open buckets, the last one open; empty buckets are kept. Null values are in none."""
@@ -30,9 +33,14 @@ def distribution(df: DataFrame, value: str, groups: list[str] = (), quantiles: t
     """Rows (groups, n, p50, p90, p99, largest): sorted[min(floor(q * n), n - 1)] of each group. Null values are left out."""
     groups = list(groups)
     counted = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    keys = [F.col(g) for g in groups] or [F.lit(0)]
-    run = W.partitionBy(*keys).orderBy("v")
-    placed = counted.withColumn("upto", F.sum("k").over(run)).withColumn("n", F.sum("k").over(W.partitionBy(*keys)))
+    # distinct values are ordered within ranges of values; a range's counts before it are added afterwards
+    spans = counted.groupBy(*groups).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("k").alias("n"))
+    on = (lambda x: x.crossJoin(F.broadcast(spans))) if not groups else (lambda x: x.join(spans, groups))  # without groups a single row
+    part = F.least(F.floor((F.col("v") - F.col("lo")) * RANGES / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))), F.lit(RANGES - 1)).cast("int")
+    placed = on(counted).withColumn("part", part)
+    parts = placed.groupBy(*groups, "part").agg(F.sum("k").alias("m"))
+    before = parts.withColumn("before", F.sum("m").over(W.partitionBy(*(groups or [F.lit(0)])).orderBy("part")) - F.col("m")).drop("m")  # RANGES rows of a group
+    placed = placed.join(before, [*groups, "part"]).withColumn("upto", F.col("before") + F.sum("k").over(W.partitionBy(*groups, "part").orderBy("v")))
     # the first value whose running count passes the place
     at = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(F.lit(float(q)) * F.col("n")), F.col("n") - 1), F.col("v")))
     return placed.groupBy(*groups).agg(F.max("n").alias("n"), *[at(q).alias(f"p{q * 100:g}".replace(".", "_")) for q in quantiles], F.max("v").alias("largest"))
