@@ -21,9 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmill.runtime import cut, ship, tasks_for
+from corpusmill.runtime import cut, partitions_for, ship
 
 BLOCK = 1024
+#: Bytes of a row (h, g, i, j, side, code) that is moved.
+ROW_BYTES = 48
 #: Codes that a task sorts as one run.
 RUN = 1 << 21
 
@@ -40,7 +42,7 @@ def item_numbers(items: DataFrame, top: int) -> DataFrame:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (record, i, j, side, code) sorted by record, i, j, side: pairs inside block i (i = j) or between blocks i and j."""
+    """Rows (h, g, i, j, side, code) sorted by record, two hashes of it, and by i and j: pairs inside block i (i = j) or between blocks i and j."""
     held: list[np.ndarray] = []
     n = 0
 
@@ -61,8 +63,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     carry: pa.Table | None = None
 
     def groups(table: pa.Table, last: bool):
-        rec, i, j = (table[c].to_numpy() for c in ("h", "i", "j"))
-        new = np.flatnonzero((rec[1:] != rec[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        rec, rec2, i, j = (table[c].to_numpy() for c in ("h", "g", "i", "j"))
+        new = np.flatnonzero((rec[1:] != rec[:-1]) | (rec2[1:] != rec2[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         starts = np.concatenate([[0], new])
         ends = np.concatenate([new, [len(rec)]])
         if not last:
@@ -74,8 +76,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return None
 
     def tail(table: pa.Table) -> pa.Table:
-        rec, i, j = (table[c].to_numpy() for c in ("h", "i", "j"))
-        same = (rec == rec[-1]) & (i == i[-1]) & (j == j[-1])
+        rec, rec2, i, j = (table[c].to_numpy() for c in ("h", "g", "i", "j"))
+        same = (rec == rec[-1]) & (rec2 == rec2[-1]) & (i == i[-1]) & (j == j[-1])
         return table.slice(len(rec) - int(same.sum()))
 
     for batch in batches:
@@ -130,29 +132,28 @@ def item_pairs(df: DataFrame, record: str, item: str, least_shared: int = 1, lea
     spark = df.sparkSession
     ship(spark)
     n_records = df.agg(F.count_distinct(record)).first()[0]
-    rows = df.where(F.col(record).isNotNull() & F.col(item).isNotNull()).select(F.xxhash64(record).alias("h"), F.col(record).alias("record"), F.col(item).alias("item")).distinct()
-    rows = cut(rows)
+    rows = df.where(F.col(record).isNotNull() & F.col(item).isNotNull()).select(F.xxhash64(record).alias("h"), F.xxhash64(F.lit(7), F.col(record)).alias("g"), F.col(item).alias("item")).distinct()
+    rows = cut(rows)  # a record is two hashes of 64 bits from here on
     counted = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     useful = counted.where((F.col("n") >= least_shared) & (F.col("n") * F.lit(float(least_lift)) <= n_records))
     top = useful.agg(F.min("item"), F.max("item")).first() if dict(df.dtypes)[item] in ("bigint", "int", "smallint", "tinyint") else (None, None)
     items = cut(item_numbers(useful, -1 if top[0] is None or top[0] < 0 else top[1]))
     # items in more records than the lift allows are few, at most least_lift times the mean number of items in a record
     hot = [r[0] for r in counted.where(F.col("n") * F.lit(float(least_lift)) > n_records).select("item").collect()] if least_lift > 1 else []
-    slim = (rows.where(~F.col("item").isin(hot)) if hot else rows).join(items.select("item", "code"), "item").select("h", "record", "code")
+    slim = (rows.where(~F.col("item").isin(hot)) if hot else rows).join(items.select("item", "code").hint("merge"), "item").select("h", "g", "code")
 
-    sizes = slim.groupBy("record").agg(F.count(F.lit(1)).alias("m"))
-    large = sizes.where(F.col("m") > BLOCK).select("record", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
-    cells = slim.join(large, "record", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("code"), F.col("k")).cast("int"))
+    sizes = slim.groupBy("h", "g").agg(F.count(F.lit(1)).alias("m"))
+    large = sizes.where(F.col("m") > BLOCK).select("h", "g", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
+    cells = slim.join(large.hint("merge"), ["h", "g"], "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("code"), F.col("k")).cast("int"))
     cells = cells.withColumn("o", F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))))
-    cells = cells.select("h", "record", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "code")
-    tasks = tasks_for(rows)
-    # records whose hashes are equal are told apart by a second hash, so that no pair is made across records
-    work = cells.select(F.xxhash64("h", F.hash("record")).alias("h"), "i", "j", "side", "code").repartition(tasks, "h", "i", "j").sortWithinPartitions("h", "i", "j")
+    cells = cells.select("h", "g", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "code")
+    tasks = partitions_for(spark, rows.count() * ROW_BYTES)
+    work = cells.repartition(tasks, "h", "g", "i", "j").sortWithinPartitions("h", "g", "i", "j")
     runs = work.mapInArrow(_runs, "pair long, n long")
     shared = runs.repartition(tasks, "pair").sortWithinPartitions("pair").mapInArrow(_merge(least_shared), "pair long, shared long")
     coded = shared.select(F.shiftright("pair", 32).alias("code_a"), (F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))).alias("code_b"), "shared")
     side = lambda x: items.select(F.col("code").alias(f"code_{x}"), F.col("item").alias(f"item_{x}"), F.col("n").alias(f"n_{x}"))
-    out = coded.join(side("a"), "code_a").join(side("b"), "code_b").withColumn("n_records", F.lit(n_records).cast("long"))
+    out = coded.join(side("a").hint("merge"), "code_a").join(side("b").hint("merge"), "code_b").withColumn("n_records", F.lit(n_records).cast("long"))
     out = out.where(F.col("shared") * F.col("n_records") >= F.lit(float(least_lift)) * F.col("n_a") * F.col("n_b"))
     s, a, b, n = (F.col(c).cast("double") for c in ("shared", "n_a", "n_b", "n_records"))
     odds = ((s + 0.5) * (n - a - b + s + 0.5)) / ((a - s + 0.5) * (b - s + 0.5))

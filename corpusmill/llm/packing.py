@@ -126,9 +126,10 @@ def pack(items: DataFrame, capacities: list[tuple[str, int]], range_tokens: int
     """Rows (container_name, container_id, item, piece_no, first_token, n_tokens) for each kind of container.
 
     items: (item, tokens, curve), of which any number can lie on one place of the curve: ties are spread by a hash of the item.
+    Of several rows of an item the one of most tokens counts; rows without an item are none.
     """
     ship(items.sparkSession)
-    items = cut(items.dropDuplicates(["item"]))
+    items = cut(items.where(F.col("item").isNotNull()).groupBy("item").agg(F.max(F.struct("tokens", "curve")).alias("r")).select("item", "r.tokens", "r.curve"))
     total = items.agg(F.sum("tokens")).first()[0] or 0
     ranges = int(max(1, -(-total // range_tokens)))
     kinds = [(n, int(c)) for n, c in capacities if n is not None and c is not None and c > 0]

@@ -80,11 +80,11 @@ def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, st
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.quota_report(*_classes(spark, sf_dir))[1].where("shortfall > 0").select(F.col("level").alias("book_level"), F.col("kind").alias("chunk_type"))
+    return sampling.quota_report(*_classes(spark, sf_dir)).where("shortfall > 0").select(F.col("level").alias("book_level"), F.col("kind").alias("chunk_type"))
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.quota_report(*_classes(spark, sf_dir))[1].select(F.col("level").alias("book_level"), F.col("kind").alias("chunk_type"), "available", "needed", "drawn", "shortfall")
+    return sampling.quota_report(*_classes(spark, sf_dir)).select(F.col("level").alias("book_level"), F.col("kind").alias("chunk_type"), "available", "needed", "drawn", "shortfall")
 
 
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

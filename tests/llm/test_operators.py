@@ -129,12 +129,26 @@ def test_sample_quotas_and_report(spark):
     df = spark.createDataFrame(rows + rows[:50], "id string, level int, kind string")
     targets = spark.createDataFrame([(1, "prose", 900, 5), (2, "quote", 100, 20), (3, "infobox", 0, 2), (None, "x", 1, 1)], "book_level int, chunk_type string, target_permille int, min_rows int")
     args = (df, targets, "id", "level", "kind")
-    report = {(r.level, r.kind): (r.available, r.needed, r.drawn, r.shortfall) for r in sampling.quota_report(*args)[1].collect()}
+    report = {(r.level, r.kind): (r.available, r.needed, r.drawn, r.shortfall) for r in sampling.quota_report(*args).collect()}
     assert report == {(1, "prose"): (600, 54, 54, 0), (2, "quote"): (7, 20, 7, 13), (3, "infobox"): (0, 2, 0, 2)}
     drawn = sampling.draw(*args).collect()
     assert len(drawn) == len({r.k for r in drawn}) == 61 and Counter(r.kind for r in drawn) == {"prose": 54, "quote": 7}
     assert {r.k for r in drawn} == {r.k for r in sampling.draw(*args).collect()}
     assert sampling.draw(df.limit(0), *args[1:]).count() == 0
+    assert {(r.needed, r.drawn) for r in sampling.quota_report(df.limit(0), *args[1:]).collect()} == {(5, 0), (20, 0), (2, 0)}
+
+
+def test_reservoirs_merge_and_are_trimmed(spark, monkeypatch):
+    """The sample is that of one reservoir over all rows, however many tasks there are and however often they trim."""
+    import hashlib
+
+    monkeypatch.setattr(sampling, "HELD", 40)
+    rows = [(f"k{i}", i % 3, "a") for i in range(900)]
+    targets = spark.createDataFrame([(0, "a", 300, 0), (1, "A ", 200, 40), (2, "a", 500, 0)], "book_level int, chunk_type string, target_permille int, min_rows int")
+    want = {k for level, n in ((0, 27), (1, 40), (2, 45)) for k in sorted((k for k, x, _ in rows if x == level), key=lambda k: hashlib.md5(f"sample:{k}".encode()).hexdigest())[:n]}
+    for tasks in (1, 7):
+        df = spark.createDataFrame(rows, "id string, level int, kind string").repartition(tasks)
+        assert {r.k for r in sampling.draw(df, targets, "id", "level", "kind").collect()} == want
 
 
 # --- tokens and containers
