@@ -37,14 +37,23 @@ def gate(recall: DataFrame, refined: DataFrame, least_recall: float = 0.80, leas
     return both.withColumn("passed", (F.col("recall") >= least_recall) & (F.col("accuracy") >= least_accuracy))
 
 
+def lost_targets(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The queries whose target isn't in the corpus."""
+    return queries.join(corpus.select(F.col("id").alias("target_id")).distinct(), "target_id", "left_anti")
+
+
 def target_ranks(queries: DataFrame, corpus: DataFrame, digits: int = 9) -> DataFrame:
     """Rows (query_id, rank): 1 and the number of corpus vectors strictly more similar to the query than its target.
 
     queries: (query_id, vector, target_id); corpus: (id, vector). Ties rank equal. Similarity is the dot product, rounded to `digits`.
-    Queries are held in blocks of a checked size; the corpus streams past each block once and only counts are shuffled.
+    Queries are held in blocks of a checked size; the corpus streams past each block once and only counts are shuffled. A query whose
+    target isn't in the corpus is an error, as scores over fewer queries would look better than they are.
     """
     spark = queries.sparkSession
     ship(spark)
+    lost = [r[0] for r in lost_targets(queries, corpus).select("query_id").orderBy("query_id").limit(5).collect()]
+    if lost:
+        raise ValueError(f"queries without their target in the corpus: {', '.join(map(str, lost))}")
     queries = queries.join(corpus.select(F.col("id").alias("target_id"), F.col("vector").alias("target")), "target_id").select("query_id", "vector", "target")
     size = queries.agg(F.coalesce(F.sum(F.size("vector") * 16), F.lit(0))).first()[0]
     blocks = int(max(1, -(-size // QUERY_BYTES)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -52,6 +52,37 @@ def assemble(chunks: DataFrame, records: DataFrame, checked: bool = True) -> Dat
     return out.withColumn("book_level_raw", F.when(open_, F.col("_r"))).withColumn("label_confidence", F.when(open_, F.col("_c"))).withColumn("book_level", F.when(open_, F.col("_l")).otherwise(F.col("book_level"))).withColumn("label_provenance", F.when(open_, "llm").otherwise(F.col("label_provenance"))).drop("_l", "_r", "_c")
 
 
+def require_labelled(before: DataFrame, after: DataFrame, key: str = "chunk_id", level: str = "book_level") -> None:
+    """Raise unless an assembly has as many rows as before, no key twice and no row without a level."""
+    facts = after.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("keys"), F.count_if(F.col(level).isNull()).alias("open")).first()
+    n = before.count()
+    problems = [f"{facts.n} rows instead of {n}"] * (facts.n != n) + [f"{facts.n - facts['keys']} repeated keys"] * (facts["keys"] != facts.n) + [f"{facts['open']} rows without a level"] * (facts["open"] > 0)
+    if problems:
+        raise ContractError("; ".join(problems))
+
+
+def label_by_hand(todo: Iterable[dict], ask: Callable[[str], str], show: Callable[[str], None], clock: Callable[[], float], now: Callable[[], str], answers: Sequence[str] = ("1", "2", "3", "u"), stop: str = "q") -> Iterator[dict]:
+    """Records (chunk_id, manual_book_level, seconds_spent, labeled_at) of a person's answers, one for each row of `todo`, as they are given.
+
+    An answer that isn't known is asked for again; `stop` ends the session. What was labelled before is left out by `to_do`, so a session can be taken up again.
+    """
+    for row in todo:
+        show(row["text"])
+        began = clock()
+        while (answer := ask(f"[{'/'.join(answers)}/{stop}] ").strip().lower()) not in answers:
+            if answer == stop:
+                return
+        yield {"chunk_id": row["chunk_id"], "manual_book_level": answer, "seconds_spent": round(clock() - began, 1), "labeled_at": now()}
+
+
+def artifact_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row (rows, artifact_hash): a hash of all rows that doesn't depend on their order or on how they are spread over files."""
+    line = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    digest = F.conv(F.substring(F.sha2(line, 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    both = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("s"))
+    return both.select("rows", F.sha2(F.concat_ws(":", "rows", "s"), 256).alias("artifact_hash"))
+
+
 def last_wins(log: DataFrame, key: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """The last record of each key of an append-only log; a partial aggregation, so a key of any number of records is no burden."""
     newest = log.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order, *[v for v in values if v not in order])).alias("r"))

@@ -121,6 +121,42 @@ def reference_behaviour(sections: DataFrame) -> DataFrame:
     return sections.agg(n.alias("sections"), some(tags).alias("with_tag"), some(tpl).alias("with_template"), some(tags | tpl).alias("with_any"), F.count_if(F.col("words") > 500).alias("over_500"), F.count_if((F.col("level") > 0) & (F.col("words") < 50)).alias("under_50"))
 
 
+def reference_survival(pages: DataFrame, least: float = 0.5) -> DataFrame:
+    """One row (refs, survived, share): reference bodies with words, and those of whose words more than `least` are left in the plain text of the body."""
+
+    def read(text):
+        for _, body in wikitext.references(text):
+            words = (body or "").split()
+            if words:
+                yield len(words), len(wikitext.plain(body).split())
+
+    rows = _rows(pages, read, "pageid long, words int, kept int")
+    kept = F.count_if(F.col("kept") > F.col("words") * least)
+    return rows.agg(F.count(F.lit(1)).alias("refs"), kept.alias("survived")).withColumn("share", T.share(F.col("survived"), F.col("refs")))
+
+
+def reference_histogram(sections: DataFrame, bounds: list[int]) -> DataFrame:
+    """Sections by their number of references, tags and templates together."""
+    return histogram(sections.select((F.col("ref_tags") + F.col("ref_templates")).alias("refs")), "refs", bounds)
+
+
+def top_parameters(uses: DataFrame, name: str, n: int = 10) -> DataFrame:
+    """Rows (first_param, uses): the commonest first parameters of a template, by count and then in order."""
+    return top(uses.where((F.col("name") == name) & F.col("first_param").isNotNull()).groupBy("first_param").agg(F.count(F.lit(1)).alias("uses")), [F.desc("uses"), F.asc("first_param")], n)
+
+
+def category_leaks(pages: DataFrame, text: str = "wikitext") -> DataFrame:
+    """One row (pages): texts in whose plain form a category link's words still stand."""
+    leak = F.col(text).rlike(r"(?i)(?<!\[\[)\bcategory:\S")
+    return pages.where(F.col(text).isNotNull()).agg(F.count_if(leak).alias("pages"))
+
+
+def near_empty(pages: DataFrame, words: int = 20, chars: int = 300) -> DataFrame:
+    """Rows (pageid, words, chars) of pages that are long as markup and nearly empty as plain text, the emptiest first."""
+    rows = _rows(pages, lambda text: [(len(wikitext.plain(text).split()), len(text))], "pageid long, words int, chars int")
+    return rows.where((F.col("words") < words) & (F.col("chars") >= chars)).orderBy("words", "pageid")
+
+
 def residue_windows(df: DataFrame, key: str, text: str, pattern: str, before: int = 80, after: int = 160) -> DataFrame:
     """Rows (key, hits, excerpt) of the texts in which the pattern is found, with a window around its first hit."""
     at = F.regexp_instr(F.col(text), F.lit(pattern))
@@ -134,18 +170,32 @@ def top(df: DataFrame, by: list[Column], n: int) -> DataFrame:
     return df.orderBy(*by).limit(n)
 
 
-def findings(sections: dict, coverage: dict) -> list[str]:
-    """Conclusions from the one-row aggregates of a profile, as sentences for its report."""
-    out = []
+def findings(sections: dict, coverage: dict, templates: dict | None = None, survival: dict | None = None, garbage: dict | None = None) -> list[str]:
+    """Conclusions from the one-row aggregates of a profile, as sentences for its report; each holds only where its figures are given.
+
+    templates: uses of the templates quote, ref and infobox, names in all and names used once; garbage: residue_pages, near_empty, category_leaks.
+    """
     n = max(sections["sections"], 1)
-    if sections["over_500"] / n < 0.05:
-        out.append(f"Few sections are long: {sections['over_500']} of {sections['sections']} exceed 500 words, so most sections are one chunk.")
-    else:
-        out.append(f"{sections['over_500']} of {sections['sections']} sections exceed 500 words and need splitting.")
-    if sections["under_50"] / n > 0.3:
-        out.append(f"{sections['under_50']} sections have fewer than 50 words.")
-    if sections["with_any"] < 50:
-        out.append(f"References reach {sections['with_any']} % of the sections; labels can't rest on them alone.")
-    if coverage.get("null"):
-        out.append(f"{coverage['null']} chunks have no deterministic label.")
-    return out
+    rules: list[tuple[bool, str]] = [
+        (sections["over_500"] / n < 0.05, f"Few sections are long: {sections['over_500']} of {sections['sections']} exceed 500 words, so most sections are one chunk."),
+        (sections["over_500"] / n >= 0.05, f"{sections['over_500']} of {sections['sections']} sections exceed 500 words and need splitting."),
+        (sections["under_50"] / n > 0.3, f"{sections['under_50']} sections have fewer than 50 words."),
+        (sections["with_any"] < 50, f"References reach {sections['with_any']} % of the sections; labels can't rest on them alone."),
+        (bool(coverage.get("null")), f"{coverage.get('null')} chunks have no deterministic label."),
+    ]
+    if templates:
+        rules += [
+            (templates.get("quote", 0) >= 5, f"Quote templates are used {templates.get('quote')} times and are worth chunks of their own."),
+            (templates.get("infobox", 0) > 0, f"{templates.get('infobox')} infoboxes hold facts that the prose may lack."),
+            (templates.get("ref", 0) > 0, f"{templates.get('ref')} reference templates name their source by a code."),
+            (templates.get("once", 0) / max(templates.get("names", 1), 1) > 0.5, f"{templates.get('once')} of {templates.get('names')} templates are used once; rules for single templates pay off for the others only."),
+        ]
+    if survival and survival["refs"]:
+        rules.append((survival["survived"] < survival["refs"], f"{survival['refs'] - survival['survived']} of {survival['refs']} reference bodies don't survive the stripping and have to be read before it."))
+    if garbage:
+        rules += [
+            (garbage.get("residue_pages", 0) > 0, f"{garbage.get('residue_pages')} pages keep markup after stripping."),
+            (garbage.get("near_empty", 0) > 0, f"{garbage.get('near_empty')} pages are nearly empty once stripped."),
+            (garbage.get("category_leaks", 0) > 0, f"Category names leak into the text of {garbage.get('category_leaks')} pages."),
+        ]
+    return [text for holds, text in rules if holds]

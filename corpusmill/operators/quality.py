@@ -82,6 +82,64 @@ def split_sections(chunks: DataFrame) -> DataFrame:
     return prose.groupBy("page_id", F.substring_index("chunk_id", ":", 2).alias("section")).agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
 
 
+def schema_difference(a: DataFrame, b: DataFrame) -> tuple[list[str], list[str]]:
+    """The names of columns that only the first and only the second table has."""
+    return sorted(set(a.columns) - set(b.columns)), sorted(set(b.columns) - set(a.columns))
+
+
+def schema_check(df: DataFrame, expected: list[str]) -> DataFrame:
+    """Whether a table has exactly the expected columns; observed: how many it lacks or has beyond them."""
+    off = sorted(set(df.columns) ^ set(expected))
+    row = [("columns", "FAIL" if off else "PASS", "columns that are missing or unexpected" + (f": {', '.join(off)}" if off else ""), float(len(off)))]
+    return df.sparkSession.createDataFrame(row, "`check` string, severity string, message string, observed double")
+
+
+def chapter_checks(pages: DataFrame, book: str = r"\|\s*book", chapter_ns: int = 112) -> DataFrame:
+    """Chapters look raw: more than half of them hold templates, and at least one has a book parameter; a corpus without chapters fails."""
+    chapters = pages.where(F.col("ns") == chapter_ns)
+    raw = T.ratio(F.count_if(F.contains(F.col("wikitext"), F.lit("{{"))), F.count(F.lit(1)))
+    enough = F.when(F.col("observed") > 0, "PASS").otherwise("FAIL")
+    return report(
+        rule(chapters, "chapters", F.count(F.lit(1)), enough, "chapter pages"),
+        rule(chapters, "chapters are raw", F.round(raw, 4), F.when(F.col("observed") > 0.5, "PASS").otherwise("FAIL"), "share of chapter pages with templates"),
+        rule(chapters, "chapters name books", F.count_if(F.coalesce(F.col("wikitext").rlike(book), F.lit(False))), enough, "chapter pages with a book parameter"),
+    )
+
+
+def spot_checks(chunks: DataFrame, infobox_of: str, quote_of: str, gold_pages: int, garbage: list[str] = (), tolerance: float = 0.05) -> DataFrame:
+    """A named page has an infobox, a named page has a quote, the number of gold pages is as expected, and known garbage pages are there."""
+    kind = F.lower(F.trim("chunk_type"))
+    has = lambda title, k: F.count_if((F.col("page_title") == title) & (kind == k))
+    some = F.when(F.col("observed") > 0, "PASS").otherwise("FAIL")
+    drift = F.abs(F.col("observed") - gold_pages) / max(gold_pages, 1)
+    rows = report(
+        rule(chunks, f"infobox of {infobox_of}", has(infobox_of, "infobox"), some, "infobox chunks of the page"),
+        rule(chunks, f"quote of {quote_of}", has(quote_of, "quote"), some, "quote chunks of the page"),
+        rule(chunks, "gold pages", F.count_distinct(F.when(F.col("label_provenance") == "gold", F.col("page_id"))), F.when(F.col("observed") == gold_pages, "PASS").when(drift <= tolerance, "WARN").otherwise("FAIL"), f"pages with a gold label, {gold_pages} expected"),
+    )
+    if garbage:
+        names = chunks.sparkSession.createDataFrame([(g,) for g in garbage], "page_title string")
+        absent = names.join(chunks.select("page_title").distinct(), "page_title", "left_anti")
+        rows = rows.unionByName(rule(absent, "known garbage pages", F.count(F.lit(1)), F.when(F.col("observed") == 0, "PASS").otherwise("WARN"), "known garbage pages that are absent"))
+    return rows
+
+
+def distribution_checks(chunks: DataFrame, tiers: list[str]) -> DataFrame:
+    """Facts for the reader: chunks of each provenance and kind, and the median and longest chunk."""
+    kind = F.coalesce(F.lower(F.trim("chunk_type")), F.lit("null"))
+    info = lambda name, rows: rows.select(F.concat(F.lit(f"{name} "), F.col("k")).alias("check"), F.lit("INFO").alias("severity"), F.lit("chunks").alias("message"), F.col("n").cast("double").alias("observed"))
+    counted = lambda c: chunks.groupBy(c.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return report(
+        info("provenance", counted(F.coalesce("label_provenance", F.lit("null")))), info("kind", counted(kind)),
+        rule(chunks, "longest chunk", F.max("word_count"), F.lit("INFO"), "words"), rule(chunks, "unlabelled", F.count_if(~F.coalesce(F.col("label_provenance").isin(tiers), F.lit(False))), F.lit("INFO"), "chunks without a known provenance"),
+    )
+
+
+def kind_of(path: str) -> str:
+    """What a file holds, by its name."""
+    return "chunks" if "chunk" in path.rstrip("/").rsplit("/", 1)[-1].lower() else "pages"
+
+
 def report(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import chunking, evaluation as ev, labeling as lb, links as lk, profiling as pf, quality as dq, sampling as sa
+from corpusmill.operators import audit as au, chunking, embedding as em, evaluation as ev, labeling as lb, links as lk, profiling as pf, quality as dq, questions as qu, sampling as sa
 from corpusmill.runtime import read
 from corpusmill.streaming import logs
 
@@ -81,7 +81,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 def ranks(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
     q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector", (F.col("id") + 1).alias("target_id"))
-    return ev.target_ranks(q, v)
+    return ev.target_ranks(q.join(v.select(F.col("id").alias("target_id")), "target_id", "left_semi"), v)
 
 
 def ranks_with_label(spark: SparkSession, d: str) -> DataFrame:
@@ -122,6 +122,44 @@ def audit(spark: SparkSession, d: str) -> DataFrame:
     return p.select("pageid", tier.alias("tier"), T.word_count("wikitext").alias("words"))
 
 
+BOOKS = {code: [rf"\b{code}\b", rf"(?i)\bbook {code.lower()}\b"] for code in LEVELS}
+
+
+def full_audit(spark: SparkSession, d: str) -> DataFrame:
+    """All six tiers, with the categories of the pages' chunks."""
+    held = chunks(spark, d).where("categories IS NOT NULL").groupBy(F.col("page_id").alias("pageid")).agg(F.min_by("categories", "chunk_id").alias("categories"))
+    return au.page_audit(pages(spark, d).join(held, "pageid", "left"), BOOKS, "categories")
+
+
+def letters(alphabet: str):
+    """A model for tests of the comparison: counts of letters. It runs on the executors like any other model, and SQL can repeat it."""
+
+    def make():
+        import numpy as np
+
+        return lambda texts: (np.array([[t.lower().count(a) for a in alphabet] for t in texts], "float64"), sum(len(t.split()) for t in texts))
+
+    return make
+
+
+def bakeoff(spark: SparkSession, d: str):
+    """Two models over the pages' titles and texts: the question is the title, its target the page."""
+    p = pages(spark, d).where("title IS NOT NULL AND wikitext IS NOT NULL")
+    asked = p.where("pageid % 20 = 0").select(F.col("pageid").alias("query_id"), F.col("title").alias("question"), F.col("pageid").alias("target_id"), "ns")
+    return em.bakeoff(p.select(F.col("pageid").alias("id"), F.col("wikitext").alias("text")), asked, {"letters": (letters("abcdefghijklmnopqrstuvwxyz"), 100, ""), "vowels": (letters("aeiou"), 32, "e: ")}, ["ns"])
+
+
+def scripted(prompt: str) -> dict:
+    """A client for tests of question generation: the first answer for every prompt of even length refers to its source."""
+    asked = scripted.__dict__.setdefault("asked", {})
+    n = asked[prompt] = asked.get(prompt, 0) + 1
+    return {"question": "According to the page, what is it?" if len(prompt) % 2 == 0 and n % 2 else f"What is told in {len(prompt)} letters?", "input_tokens": len(prompt), "cached_tokens": 0, "output_tokens": 7}
+
+
+def made_questions(spark: SparkSession, d: str) -> DataFrame:
+    return qu.questions(chunks(spark, d).where("text IS NOT NULL AND chunk_type IS NOT NULL AND page_title IS NOT NULL"), lambda: scripted)
+
+
 Q = {
     "label_coverage": lambda s, d: pf.label_coverage(chunks(s, d), TIERS),
     "word_count_histogram": lambda s, d: pf.histogram(documents(s, d).select(T.word_count("text").alias("w")), "w", [0, 50, 100, 230, 380, 500]),
@@ -199,6 +237,29 @@ Q = {
     "label_times": lambda s, d: labels(s, d).where("seconds_spent IS NOT NULL AND seconds_spent >= 0 AND seconds_spent < 36000").select("chunk_id", T.minutes("seconds_spent").alias("spent")),
     "title_forms": lambda s, d: read(s, d, "entity_links").where("target_page_title IS NOT NULL").select("target_page_title").distinct().select("target_page_title", T.normal_title("target_page_title").alias("normal"), T.slug("target_page_title", fold=False).alias("slug")),
     "event_windows": lambda s, d: read(s, d, "events").groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")),
+    "gold_chunks": lambda s, d: chunks(s, d).where("label_provenance = 'gold'").select("chunk_id", "book_level"),
+    "sampling_frame": lambda s, d: chunks(s, d).where("label_provenance IS NULL AND NOT is_speculation").select("chunk_id"),
+    "sampling_stats": lambda s, d: sa.draw_stats(chunks(s, d).where("NOT is_speculation"), T.first_match([(k, rf"(?i)\b{k}\b") for k in KEYWORDS], "page_title", "section_heading")),
+    "sample_outside_frame": lambda s, d: sa.contained(sample(s, d), chunks(s, d)),
+    "sample_overlap": lambda s, d: sa.disjoint(sample(s, d), labels(s, d)),
+    "lost_targets": lambda s, d: ev.lost_targets(labels(s, d).select(F.col("chunk_id").alias("query_id"), F.col("chunk_id").alias("target_id")), chunks(s, d).select(F.col("chunk_id").alias("id"))).select("query_id"),
+    "sample_joined": lambda s, d: sample(s, d).join(chunks(s, d).select("chunk_id", "book_level", "label_provenance"), "chunk_id", "left").join(labels(s, d).select("chunk_id", "manual_book_level"), "chunk_id", "left").select("chunk_id", "stratum", "manual_book_level", "book_level", "label_provenance"),
+    "comention_pairs": lambda s, d: lk.comentions(link_rows(s, d)),
+    "appearance_parameters": lambda s, d: pages(s, d).select("pageid", F.explode(au.appearances("wikitext")).alias("a")).select("pageid", "a.name", "a.value"),
+    "reference_bodies": lambda s, d: pages(s, d).select("pageid", F.explode(au.reference_bodies("wikitext")).alias("body")),
+    "full_audit": lambda s, d: full_audit(s, d).select("pageid", "tier", F.array_join("books", ",").alias("books"), "words", "refs"),
+    "full_audit_report": lambda s, d: au.tier_report(full_audit(s, d)),
+    "audit_density": lambda s, d: au.reference_density(full_audit(s, d)),
+    "audit_no_signal": lambda s, d: au.no_signal(full_audit(s, d)),
+    "chapter_quality": lambda s, d: dq.chapter_checks(pages(s, d)),
+    "spot_quality": lambda s, d: dq.spot_checks(read(s, d, "chunks").distinct(), "Thornreach", "Thornreach", 26, ["Thornreach", "Nowhere at all"]),
+    "distribution_quality": lambda s, d: dq.distribution_checks(chunks(s, d), TIERS),
+    "question_violations": lambda s, d: qu.violations(pages(s, d).where("wikitext IS NOT NULL").select("pageid", F.col("wikitext").alias("question"))).select("pageid", "banned_reference"),
+    "answer_schema": lambda s, d: qu.parsed(labels(s, d).select("chunk_id", F.to_json(F.struct(F.trim("manual_book_level").alias("level"), F.when(F.col("seconds_spent") > 60, "medium").otherwise("high").alias("confidence"))).alias("answer")), "answer", "level string, confidence string", {"level": ["1", "2", "3"], "confidence": ["low", "medium", "high"]}, ["level"]).select("chunk_id", "violation"),
+    "generated_questions": lambda s, d: made_questions(s, d).select("chunk_id", "question", "input_tokens", "output_tokens", "banned_reference"),
+    "bakeoff_ranks": lambda s, d: bakeoff(s, d)[1].select("model", "query_id", "rank"),
+    "bakeoff_scores": lambda s, d: bakeoff(s, d)[0],
+    "streaming_windows": lambda s, d: logs.drain(logs.windowed_counts(logs.read_stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 day", "1 hour"), "windows").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n"),
     # operators that SQL can't state: checked by tests against brute force and fixtures
     "wikitext_links": lambda s, d: lk.classified(lk.link_occurrences(pages(s, d))),
     "wikitext_edges": lambda s, d: lk.edges(lk.resolved(lk.classified(lk.link_occurrences(pages(s, d))), titles(s, d))),
@@ -283,6 +344,28 @@ _LEAF = "lower(trim(list_last(string_split(section_heading, '>'))))"
 _POOL = f"qp AS (SELECT chunk_id, book_level, lower(trim(chunk_type)) AS chunk_type, CASE WHEN lower(trim(chunk_type)) = 'infobox' AND ns = 112 THEN 'chapter infobox' WHEN regexp_full_match(lower(section_heading), 'references|notes|trivia|summary') THEN 'silence-heading' WHEN {_LEAF} IN ('references', 'layout', 'known members', 'appearances') THEN 'navigational' END AS excluded FROM c)"
 _LAST = f"WITH {_M} SELECT chunk_id, manual_book_level, seconds_spent, labeled_at FROM m"
 
+
+
+def _books(expr: str) -> str:
+    return "list_filter([" + ", ".join(rf"CASE WHEN regexp_matches({expr}, '\b{c}\b') OR regexp_matches({expr}, '(?i)\bbook {c.lower()}\b') THEN '{c}' END" for c in LEVELS) + "], lambda x: x IS NOT NULL)"
+
+
+_FULL = (
+    rf"{_C}, {_P}, h AS (SELECT page_id, arg_min(categories, chunk_id) AS categories FROM c WHERE categories IS NOT NULL GROUP BY 1), w AS (SELECT p.*, coalesce(categories, []) AS cats, coalesce(wikitext, '') AS t, regexp_extract_all(coalesce(wikitext, ''), '{au.REFERENCE}', 1) AS bodies,"
+    r" regexp_extract_all(coalesce(wikitext, ''), '(?im)^[^\S\n]*\|[^\S\n]*(?:first_?appear\w*|appear\w*|books?|debut|novels?)[^\S\n]*=[^\S\n]*(.*)$', 1) AS vals FROM p LEFT JOIN h ON h.page_id = p.pageid), "
+    f"b AS (SELECT *, {_books('array_to_string(cats, chr(10))')} AS c1, {_books('array_to_string(bodies, chr(10))')} AS c2, {_books('array_to_string(vals, chr(10))')} AS c3, {_books('t')} AS c4, {_books('coalesce(title, chr(10))')} AS c0 FROM w), "
+    "d AS (SELECT *, list_concat(list_concat(c0, list_filter(c1, lambda x: NOT list_contains(c0, x))), list_filter(c4, lambda x: NOT list_contains(c0, x) AND NOT list_contains(c1, x))) AS cc FROM b), "
+    "fa AS (SELECT pageid, coalesce(title, '') AS title, CASE WHEN ns = 112 THEN 'chapter' WHEN len(c1) > 0 THEN 'category' WHEN len(c2) > 0 THEN 'reference' WHEN len(c3) > 0 THEN 'appearance' WHEN len(c4) > 0 THEN 'mention' ELSE 'none' END AS tier,"
+    " CASE WHEN ns = 112 THEN cc WHEN len(c1) > 0 THEN c1 WHEN len(c2) > 0 THEN c2 WHEN len(c3) > 0 THEN c3 ELSE c4 END AS books, " + _words("t") + " AS words, len(bodies) AS refs FROM d)"
+)
+_BAKE = f"""{_P}, u AS (SELECT * FROM p WHERE title IS NOT NULL AND wikitext IS NOT NULL), m(model, letters, prefix) AS (VALUES ('letters', 'abcdefghijklmnopqrstuvwxyz', ''), ('vowels', 'aeiou', 'e: ')),
+ t AS (SELECT model, pageid AS id, list_transform(string_split(letters, ''), lambda a: (length(wikitext) - length(replace(lower(wikitext), a, '')))::DOUBLE) AS v FROM m, u),
+ q AS (SELECT model, pageid AS id, ns, list_transform(string_split(letters, ''), lambda a: (length(prefix || title) - length(replace(lower(prefix || title), a, '')))::DOUBLE) AS v FROM m, u WHERE pageid % 20 = 0),
+ tn AS (SELECT model, id, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-30)) AS v FROM t), qn AS (SELECT model, id, ns, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-30)) AS v FROM q),
+ o AS (SELECT qn.model, qn.id, qn.ns, qn.v, round(list_dot_product(qn.v, tn.v), 9) AS own FROM qn JOIN tn ON tn.model = qn.model AND tn.id = qn.id),
+ k AS (SELECT o.model, o.id AS query_id, any_value(o.ns) AS ns, 1 + count(*) FILTER (round(list_dot_product(o.v, tn.v), 9) > own) AS rank FROM o JOIN tn ON tn.model = o.model GROUP BY 1, 2)"""
+_BANNED = _first([(w, rf"regexp_matches(lower(wikitext), '\b{w}\b')") for w in qu.BARE])[: -len(" END")] + rf" ELSE nullif(regexp_extract(lower(wikitext), '\b(according to the (?:{'|'.join(qu.NOUNS)}))\b', 1), '') END"
+
 ORACLE = {
     "label_coverage": f"WITH {_C}, t(tier) AS (VALUES ('gold'), ('citation'), ('llm'), ('null')), g AS (SELECT coalesce(label_provenance, 'null') AS tier, count(*) AS n, sum(coalesce(word_count, 0)) AS w FROM c GROUP BY 1), f AS (SELECT t.tier, coalesce(n, 0)::BIGINT AS chunks, coalesce(w, 0)::BIGINT AS words FROM t LEFT JOIN g USING (tier)) SELECT tier, chunks, round(100.0::DOUBLE * chunks / greatest(sum(chunks) OVER (), 1), 1) AS chunk_share, words, round(100.0::DOUBLE * words / greatest(sum(words) OVER (), 1), 1) AS word_share FROM f",
     "word_count_histogram": "WITH " + _hist(_words("text"), "documents"),
@@ -370,4 +453,27 @@ ORACLE = {
     "label_times": f"WITH {_M} SELECT chunk_id, printf('%02d:%02d', (floor(seconds_spent)::INT // 60)::INT, (floor(seconds_spent)::INT % 60)::INT) AS spent FROM m WHERE seconds_spent >= 0 AND seconds_spent < 36000",
     "title_forms": f"SELECT target_page_title, upper(left(x, 1)) || substr(x, 2) AS normal, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT target_page_title, {_tsplit('target_page_title')} AS x, regexp_replace(regexp_replace(lower(target_page_title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM (SELECT DISTINCT target_page_title FROM entity_links WHERE target_page_title IS NOT NULL))",
     "event_windows": "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
+    "gold_chunks": f"WITH {_C} SELECT chunk_id, book_level FROM c WHERE label_provenance = 'gold'",
+    "sampling_frame": f"WITH {_C} SELECT chunk_id FROM c WHERE label_provenance IS NULL AND NOT is_speculation",
+    "sampling_stats": f"WITH {_C}, f AS (SELECT {_key(['page_title', 'section_heading'])} AS k FROM c WHERE NOT is_speculation), n AS (SELECT count(k) AS c, count(*) - count(k) AS r FROM f), x AS (SELECT c, r, least(c, 48) AS cd, least(r, 80 - least(c, 48)) AS rd FROM n) SELECT 'frame' AS stat, '' AS name, c + r AS n FROM x UNION ALL SELECT 'cluster pool', '', c FROM x UNION ALL SELECT 'random pool', '', r FROM x UNION ALL SELECT 'cluster drawn', '', cd FROM x UNION ALL SELECT 'random drawn', '', rd FROM x UNION ALL SELECT 'shortfall', '', 80 - cd - rd FROM x UNION ALL SELECT 'keyword', k, count(*) FROM f WHERE k IS NOT NULL GROUP BY k",
+    "sample_outside_frame": f"WITH {_A}, {_C} SELECT chunk_id FROM a WHERE chunk_id NOT IN (SELECT chunk_id FROM c)",
+    "sample_overlap": f"WITH {_A}, {_M} SELECT chunk_id FROM a WHERE chunk_id IN (SELECT chunk_id FROM m)",
+    "lost_targets": f"WITH {_M}, {_C} SELECT chunk_id AS query_id FROM m WHERE chunk_id NOT IN (SELECT chunk_id FROM c)",
+    "sample_joined": f"WITH {_A}, {_M}, {_C} SELECT a.chunk_id, a.stratum, m.manual_book_level, c.book_level, c.label_provenance FROM a LEFT JOIN c USING (chunk_id) LEFT JOIN m ON m.chunk_id = a.chunk_id",
+    "comention_pairs": f"WITH {_L}, g AS (SELECT least(source_page_id, target_page_id) AS page_a, greatest(source_page_id, target_page_id) AS page_b, count(DISTINCT chunk_id) AS chunks, coalesce(bool_or(match_type = 'link'), false) AS direct FROM l WHERE source_page_id <> target_page_id GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY direct ORDER BY chunks DESC, page_a, page_b) AS rank FROM g) WHERE rank <= 20",
+    "appearance_parameters": rf"WITH {_P}, x AS (SELECT pageid, unnest(regexp_extract_all(wikitext, '(?im)^[^\S\n]*\|[^\S\n]*(first_?appear\w*|appear\w*|books?|debut|novels?)[^\S\n]*=[^\S\n]*(.*)$', 0)) AS m FROM p) SELECT pageid, lower(regexp_extract(m, '(?im)^[^\S\n]*\|[^\S\n]*(\w+)', 1)) AS name, trim(regexp_extract(m, '=[^\S\n]*(.*)$', 1)) AS value FROM x",
+    "reference_bodies": rf"WITH {_P} SELECT pageid, unnest(regexp_extract_all(wikitext, '{au.REFERENCE}', 1)) AS body FROM p",
+    "chapter_quality": rf"""WITH {_P}, k AS (SELECT * FROM p WHERE ns = 112) SELECT 'chapters' AS "check", CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'FAIL' END AS severity, 'chapter pages' AS message, count(*)::DOUBLE AS observed FROM k UNION ALL SELECT 'chapters are raw', CASE WHEN coalesce(avg(CASE WHEN contains(wikitext, '{{{{') THEN 1.0 ELSE 0.0 END), 0) > 0.5 THEN 'PASS' ELSE 'FAIL' END, 'share of chapter pages with templates', round(coalesce(avg(CASE WHEN contains(wikitext, '{{{{') THEN 1.0 ELSE 0.0 END), 0), 4)::DOUBLE FROM k UNION ALL SELECT 'chapters name books', CASE WHEN count(*) FILTER (regexp_matches(wikitext, '\|\s*book')) > 0 THEN 'PASS' ELSE 'FAIL' END, 'chapter pages with a book parameter', count(*) FILTER (regexp_matches(wikitext, '\|\s*book'))::DOUBLE FROM k""",
+    "spot_quality": """WITH u AS (SELECT DISTINCT * FROM chunks), i AS (SELECT count(*) FILTER (page_title = 'Thornreach' AND lower(trim(chunk_type)) = 'infobox') AS i, count(*) FILTER (page_title = 'Thornreach' AND lower(trim(chunk_type)) = 'quote') AS q, count(DISTINCT page_id) FILTER (label_provenance = 'gold') AS g FROM u), a AS (SELECT count(*) AS n FROM (VALUES ('Thornreach'), ('Nowhere at all')) v(t) WHERE t NOT IN (SELECT page_title FROM u WHERE page_title IS NOT NULL)) SELECT 'infobox of Thornreach' AS "check", CASE WHEN i > 0 THEN 'PASS' ELSE 'FAIL' END AS severity, 'infobox chunks of the page' AS message, i::DOUBLE AS observed FROM i UNION ALL SELECT 'quote of Thornreach', CASE WHEN q > 0 THEN 'PASS' ELSE 'FAIL' END, 'quote chunks of the page', q::DOUBLE FROM i UNION ALL SELECT 'gold pages', CASE WHEN g = 26 THEN 'PASS' WHEN abs(g - 26) / 26.0 <= 0.05 THEN 'WARN' ELSE 'FAIL' END, 'pages with a gold label, 26 expected', g::DOUBLE FROM i UNION ALL SELECT 'known garbage pages', CASE WHEN n = 0 THEN 'PASS' ELSE 'WARN' END, 'known garbage pages that are absent', n::DOUBLE FROM a""",
+    "distribution_quality": f"""WITH {_C} SELECT 'provenance ' || coalesce(label_provenance, 'null') AS "check", 'INFO' AS severity, 'chunks' AS message, count(*)::DOUBLE AS observed FROM c GROUP BY 1 UNION ALL SELECT 'kind ' || coalesce(lower(trim(chunk_type)), 'null'), 'INFO', 'chunks', count(*)::DOUBLE FROM c GROUP BY 1 UNION ALL SELECT 'longest chunk', 'INFO', 'words', max(word_count)::DOUBLE FROM c UNION ALL SELECT 'unlabelled', 'INFO', 'chunks without a known provenance', count(*) FILTER (label_provenance IS NULL OR label_provenance NOT IN ('gold', 'citation', 'llm'))::DOUBLE FROM c""",
+    "answer_schema": f"WITH {_M} SELECT chunk_id, CASE WHEN trim(coalesce(manual_book_level, '')) = '' THEN 'level' WHEN trim(manual_book_level) NOT IN ('1', '2', '3') THEN 'level' END AS violation FROM m",
+    "generated_questions": f"WITH {_C}, q AS (SELECT chunk_id, length('Page: ' || page_title || chr(10) || 'Section: ' || coalesce(nullif(section_heading, ''), '(lede)') || chr(10) || 'Type: ' || chunk_type || chr(10) || chr(10) || CASE WHEN contains(text, chr(10) || chr(10)) THEN substr(text, instr(text, chr(10) || chr(10)) + 2) ELSE text END)::BIGINT AS n FROM c WHERE text IS NOT NULL AND chunk_type IS NOT NULL AND page_title IS NOT NULL) SELECT chunk_id, 'What is told in ' || n || ' letters?' AS question, CASE WHEN n % 2 = 0 THEN 2 * n ELSE n END AS input_tokens, CASE WHEN n % 2 = 0 THEN 14 ELSE 7 END::BIGINT AS output_tokens, NULL::VARCHAR AS banned_reference FROM q",
+    "bakeoff_ranks": f"WITH {_BAKE} SELECT model, query_id, rank FROM k",
+    "bakeoff_scores": f"WITH {_BAKE} SELECT model, 'overall' AS stratum, '' AS value, count(*) AS n, {_HIT} FROM k GROUP BY model UNION ALL SELECT model, 'ns', ns::VARCHAR, count(*), {_HIT} FROM k GROUP BY model, ns",
+    "question_violations": f"WITH {_P} SELECT * FROM (SELECT pageid, {_BANNED} AS banned_reference FROM p WHERE wikitext IS NOT NULL) WHERE banned_reference IS NOT NULL",
+    "full_audit": f"WITH {_FULL} SELECT pageid, tier, array_to_string(books, ',') AS books, words, refs FROM fa",
+    "full_audit_report": f"WITH {_FULL}, t(tier) AS (VALUES ('chapter'), ('category'), ('reference'), ('appearance'), ('mention'), ('none')), g AS (SELECT t.tier, count(pageid) AS pages, coalesce(sum(words), 0)::BIGINT AS words FROM t LEFT JOIN fa USING (tier) GROUP BY 1) SELECT tier, pages, words, round(100.0::DOUBLE * words / greatest(sum(words) OVER (), 1), 1) AS word_share FROM g",
+    "audit_density": f"WITH {_FULL}, r AS (SELECT round(refs * 1000.0::DOUBLE / words, 6) AS v FROM fa WHERE words > 0) SELECT count(*) AS pages, list_sort(list(v))[least(floor(0.5::DOUBLE * count(v)), count(v) - 1)::INT + 1] AS median FROM r",
+    "audit_no_signal": f"WITH {_FULL} SELECT pageid, title, words FROM fa WHERE tier = 'none' ORDER BY words DESC, pageid LIMIT 15",
+    "streaming_windows": "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -57,13 +58,23 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one in spark.checkpoint.dir. Where the session names none, a temporary one is made in local mode (tests);
     on a cluster, whose machines don't share such a folder, this is an error.
     """
-    sc = df.sparkSession.sparkContext
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not folder and not is_local(sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusmill-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def is_local(master: str) -> bool:
@@ -79,15 +90,3 @@ def partitions_for(spark: SparkSession, n_bytes: int, task_bytes: int = TASK_BYT
     """
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(most, -(-n_bytes // task_bytes)))
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, from file sizes for scans; rows are counted only where a source gives no size."""
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return known if known < 1 << 60 else 64 * df.count()
-
-
-def tasks_for(df: DataFrame, task_bytes: int = TASK_BYTES, most: int = 200_000) -> int:
-    """Number of partitions in which each holds about `task_bytes` of `df`, and no fewer than the shuffle setting."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(most, -(-estimated_bytes(df) // task_bytes)))

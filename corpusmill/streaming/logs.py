@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusmill.runtime import scratch
+
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of a data directory, a file or a folder of files, as a stream of files."""
@@ -29,10 +31,15 @@ def windowed_counts(stream: DataFrame, time: str, by: str, width: str, late: str
 
 
 def drain(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and return its result as a table."""
-    q: StreamingQuery = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over all that is there and return its result, which the tasks write to the shared folder, as a table."""
+    path = scratch(df.sparkSession, name)
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    q: StreamingQuery = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{path}.state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def content_changes(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
