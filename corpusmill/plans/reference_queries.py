@@ -14,6 +14,7 @@ SPECULATIVE = ["speculation", "theories", "possible origins"]
 CONFIG = chunking.ChunkConfig(levels=LEVELS, titles={f"book {code.lower()}": code for code in LEVELS}, speculative=tuple(SPECULATIVE), base_url="https://thornreach.example/wiki/")
 KEYWORDS = ["ferry", "harbor", "mill", "wedding", "oath", "winter", "bell", "guild"]
 SILENT = r"(?i)^(references|notes|trivia|summary)$"
+NAVIGATIONAL = ["references", "layout", "known members", "appearances"]
 GROUPS = [("Character", ["character"]), ("Location", ["place"]), ("Household", ["household"]), ("Object", ["object"]), ("Group", ["guild"]), ("Chapter", ["chapter"])]
 LITERALS = ["[[", "]]", "{{", "}}", "'''", "<ref", "{|", "|}"]
 TIERS = ["gold", "citation", "llm"]
@@ -108,7 +109,7 @@ def exclusion(kind, heading):
 def question_pool(spark: SparkSession, d: str) -> DataFrame:
     leaf = F.lower(F.trim(F.element_at(F.split("section_heading", ">"), -1)))
     k = F.lower(F.trim("chunk_type"))
-    reason = F.when((k == "infobox") & (F.col("ns") == 112), "chapter infobox").when(F.coalesce(F.col("section_heading").rlike(SILENT), F.lit(False)), "silence-heading").when(leaf.isin("references", "layout", "known members", "appearances"), "navigational")
+    reason = F.when((k == "infobox") & (F.col("ns") == 112), "chapter infobox").when(F.coalesce(F.col("section_heading").rlike(SILENT), F.lit(False)), "silence-heading").when(leaf.isin(NAVIGATIONAL), "navigational")
     return chunks(spark, d).select("chunk_id", "book_level", k.alias("chunk_type"), reason.alias("excluded"))
 
 
