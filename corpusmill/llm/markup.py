@@ -527,18 +527,23 @@ def clean_batch(net: BlockLabeller, texts: list[str]) -> tuple[list[str], list[t
 
 
 def clean_texts(df: DataFrame, keys: list[str], text: str, net: BlockLabeller | None = None) -> DataFrame:
-    """Rows (keys, clean_text, headings, lists, code_blocks, residue_blocks) of every text that isn't null."""
+    """Rows (keys, clean_text, headings, lists, code_blocks, residue_blocks) of every text that isn't null; repeated rows come once.
+
+    Each distinct text is labelled and rewritten once, however many rows hold it: texts are told apart by two hashes of 64 bits, by which the rows get
+    their results back.
+    """
     ship(df.sparkSession)
     parameters = df.sparkSession.sparkContext.broadcast((net or fit(df, keys, text)).p)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = _restore(parameters)
         for batch in batches:
-            made, labels = clean_batch(net, [t or "" for t in batch.column(len(keys)).to_pylist()])
+            made, labels = clean_batch(net, batch.column(2).to_pylist())
             count = lambda kind: pa.array([int((k == kind).sum()) for k, _ in labels], pa.int32())
             left = pa.array([int((p >= RESIDUE).sum()) for _, p in labels], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(made, pa.string()), count(1), count(2), count(3), left], [*keys, "clean_text", "headings", "lists", "code_blocks", "residue_blocks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string()), count(1), count(2), count(3), left], ["h1", "h2", "clean_text", "headings", "lists", "code_blocks", "residue_blocks"])
 
-    types = dict(df.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "clean_text string, headings int, lists int, code_blocks int, residue_blocks int"])
-    return df.where(F.col(text).isNotNull()).select(*keys, text).mapInArrow(run, schema)
+    rows = df.where(F.col(text).isNotNull()).select(*keys, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), F.col(text).alias("t"))
+    texts = rows.groupBy("h1", "h2").agg(F.any_value("t").alias("t"))
+    made = texts.mapInArrow(run, "h1 long, h2 long, clean_text string, headings int, lists int, code_blocks int, residue_blocks int")
+    return rows.select(*keys, "h1", "h2").distinct().join(made.hint("merge"), ["h1", "h2"]).drop("h1", "h2")
