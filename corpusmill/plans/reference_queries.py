@@ -367,7 +367,28 @@ _BAKE = f"""{_P}, u AS (SELECT * FROM p WHERE title IS NOT NULL AND wikitext IS
  k AS (SELECT o.model, o.id AS query_id, any_value(o.ns) AS ns, 1 + count(*) FILTER (round(list_dot_product(o.v, tn.v), 9) > own) AS rank FROM o JOIN tn ON tn.model = o.model GROUP BY 1, 2)"""
 _BANNED = _first([(w, rf"regexp_matches(lower(wikitext), '\b{w}\b')") for w in qu.BARE])[: -len(" END")] + rf" ELSE nullif(regexp_extract(lower(wikitext), '\b(according to the (?:{'|'.join(qu.NOUNS)}))\b', 1), '') END"
 
+_STRIP = rf"regexp_replace(x, '^{_S}|{_S}$', '', 'g')"
+_PACK = f"""WITH RECURSIVE x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+ y AS (SELECT doc_id, i, {_STRIP} AS para FROM x), z AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, para, {_words('para')} AS n FROM y WHERE para <> ''),
+ g AS (SELECT doc_id, i, 0 AS part, n AS room FROM z WHERE i = 1 UNION ALL SELECT z.doc_id, z.i, CASE WHEN g.room + z.n > 380 THEN g.part + 1 ELSE g.part END, CASE WHEN g.room + z.n > 380 THEN z.n ELSE g.room + z.n END FROM g JOIN z ON z.doc_id = g.doc_id AND z.i = g.i + 1),
+ h AS (SELECT doc_id, part, string_agg(z.para, chr(10) ORDER BY z.i) AS body, list_filter(regexp_split_to_array(string_agg(z.para, ' ' ORDER BY z.i), '{_S}'), lambda w: w <> '') AS ws FROM g JOIN z USING (doc_id, i) GROUP BY 1, 2),
+ k AS (SELECT *, lag(ws) OVER (PARTITION BY doc_id ORDER BY part) AS was FROM h)
+ SELECT doc_id, part::INT AS part_no, len(ws)::INT AS n_words, least(40, len(coalesce(was, [])))::INT AS overlap_words, CASE WHEN len(coalesce(was, [])) > 0 THEN array_to_string(was[-40:], ' ') || chr(10) || body ELSE body END AS part FROM k"""
+_NOCOMMENT = "regexp_replace(wikitext, '(?is)<!--.*?(?:-->|$)|<(nowiki|pre|syntaxhighlight|source|math)\\b[^>]*?/>|<nowiki\\b[^>]*>.*?</nowiki\\s*>|<pre\\b[^>]*>.*?</pre\\s*>|<syntaxhighlight\\b[^>]*>.*?</syntaxhighlight\\s*>|<source\\b[^>]*>.*?</source\\s*>|<math\\b[^>]*>.*?</math\\s*>', '', 'g')"
+_WL = (
+    f"{_P}, x0 AS (SELECT pageid AS page_id, {_NOCOMMENT} AS t FROM p WHERE wikitext IS NOT NULL), x1 AS (SELECT page_id, regexp_extract_all(t, '\\[\\[(?:[^\\[\\]]|\\[[^\\[\\]]*\\]|\\[\\[[^\\[\\]]*\\]\\])*\\]\\]') AS ms FROM x0), x2 AS (SELECT page_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS a FROM x1),"
+    " x3 AS (SELECT page_id, a, 0 AS b, m[3:-3] AS s FROM x2 UNION ALL SELECT page_id, a, generate_subscripts(ms, 1), unnest(ms)[3:-3] FROM (SELECT page_id, a, regexp_extract_all(m[3:-3], '\\[\\[[^\\[\\]]*\\]\\]') AS ms FROM x2)),"
+    " wl AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY a, b) - 1)::INT AS pos, trim(split_part(s, '|', 1)) AS raw_target, trim(CASE WHEN contains(s, '|') THEN regexp_extract(s, '\\|((?:[^|\\[\\]]|\\[\\[[^\\[\\]]*\\]\\])*)$', 1) ELSE s END) AS display FROM x3),"
+    f" k AS (SELECT *, trim(regexp_replace(trim(split_part(raw_target, '#', 1)), '^:+', '')) AS bare FROM wl), wk AS (SELECT *, {_tsplit('bare')} AS sp, CASE WHEN bare = '' THEN 'anchor' WHEN contains(bare, ':') AND lower(trim(split_part(bare, ':', 1))) IN ({', '.join(repr(x) for x in lk.NAMESPACES)}) THEN 'namespace' WHEN contains(bare, ':') AND lower(trim(split_part(bare, ':', 1))) IN ({', '.join(repr(x) for x in lk.INTERWIKI)}) THEN 'interwiki' ELSE 'candidate' END AS action FROM k),"
+    " k3 AS (SELECT *, upper(left(sp, 1)) || substr(sp, 2) AS nt FROM wk), ex AS (SELECT title, max(pageid) AS id FROM p WHERE title IS NOT NULL GROUP BY 1), fo AS (SELECT lower(title) AS f, max(id) AS id FROM ex GROUP BY 1 HAVING count(*) = 1),"
+    " wr AS (SELECT page_id, pos, display, action, coalesce(a.id, b.id, g.id) AS target_id, CASE WHEN a.id IS NOT NULL THEN 'exact' WHEN b.id IS NOT NULL THEN 'normalized' WHEN g.id IS NOT NULL THEN 'casefold' END AS method FROM k3 LEFT JOIN ex a ON a.title = bare LEFT JOIN ex b ON b.title = nt LEFT JOIN fo g ON g.f = lower(nt))"
+)
+
 ORACLE = {
+    "chunk_pack": _PACK,
+    "wikitext_links": f"WITH {_WL} SELECT page_id, pos, raw_target, display, bare AS target, action FROM wk",
+    "wikitext_edges": f"WITH {_WL} SELECT page_id AS src, target_id AS dst, count(*) AS links, list(display ORDER BY pos) AS displays FROM wr WHERE target_id IS NOT NULL AND target_id <> page_id GROUP BY 1, 2",
+    "link_outcomes": f"WITH {_WL} SELECT CASE WHEN action <> 'candidate' THEN 'skipped ' || action WHEN target_id IS NULL THEN 'unresolved' WHEN target_id = page_id THEN 'self link' ELSE method END AS outcome, count(*) AS n FROM wr GROUP BY 1",
     "label_coverage": f"WITH {_C}, t(tier) AS (VALUES ('gold'), ('citation'), ('llm'), ('null')), g AS (SELECT coalesce(label_provenance, 'null') AS tier, count(*) AS n, sum(coalesce(word_count, 0)) AS w FROM c GROUP BY 1), f AS (SELECT t.tier, coalesce(n, 0)::BIGINT AS chunks, coalesce(w, 0)::BIGINT AS words FROM t LEFT JOIN g USING (tier)) SELECT tier, chunks, round(100.0::DOUBLE * chunks / greatest(sum(chunks) OVER (), 1), 1) AS chunk_share, words, round(100.0::DOUBLE * words / greatest(sum(words) OVER (), 1), 1) AS word_share FROM f",
     "word_count_histogram": "WITH " + _hist(_words("text"), "documents"),
     "chunk_histogram": f"WITH {_C}, " + _hist("word_count", "c"),
