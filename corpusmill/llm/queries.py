@@ -139,7 +139,7 @@ ORACLE = {
     "p4_groups": _SIMILAR % (5, 5, 5, 4) + """, e AS (SELECT ka a, kb b, o = na AND o = nb same FROM p UNION ALL SELECT kb, ka, o = na AND o = nb FROM p),
  r(k, m) AS (SELECT chunk_id, chunk_id FROM n UNION SELECT r.k, e.b FROM r JOIN e ON r.m = e.a), s AS (SELECT n.chunk_id, least(n.chunk_id, coalesce(min(e.b), n.chunk_id)) rep, 1 + count(e.b) copies FROM n LEFT JOIN e ON e.a = n.chunk_id AND e.same GROUP BY n.chunk_id),
  k AS (SELECT e.a, count(DISTINCT s.rep) links FROM e JOIN s ON s.chunk_id = e.b WHERE NOT e.same GROUP BY 1), gk AS (SELECT k, min(m) group_key FROM r GROUP BY 1)
- SELECT s.chunk_id, g.group_key, s.copies, coalesce(k.links, 0) AS links FROM s JOIN gk ON gk.k = s.chunk_id LEFT JOIN k ON k.a = s.chunk_id""",
+ SELECT s.chunk_id, gk.group_key, s.copies, coalesce(k.links, 0) AS links FROM s JOIN gk ON gk.k = s.chunk_id LEFT JOIN k ON k.a = s.chunk_id""",
     "p5_found": rf"SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND len(list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda x: x <> '')) > 380",
     "p6_found": _SHARES + "SELECT book_level, chunk_type FROM r WHERE available < needed",
     "p6_report": _SHARES + "SELECT book_level, chunk_type, available, needed, least(available, needed) AS drawn, greatest(0, needed - available) AS shortfall FROM r",
