@@ -92,8 +92,8 @@ def ranks_with_label(spark: SparkSession, d: str) -> DataFrame:
 def clearance_ranks(spark: SparkSession, d: str) -> DataFrame:
     """Ranks among the vectors of a label up to 4 only: the filter comes before ranking and reaches the scan."""
     v = vectors(spark, d).where("label <= 4")
-    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector", F.col("id").alias("target_id"))
-    return ev.target_ranks(q, v)
+    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector", (F.col("id") + 1).alias("target_id"))
+    return ev.target_ranks(q.join(v.select(F.col("id").alias("target_id")), "target_id", "left_semi"), v)
 
 
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
@@ -237,6 +237,7 @@ Q = {
     "prompt_fingerprints": lambda s, d: chunks(s, d).where("text IS NOT NULL").select("chunk_id", T.fingerprint("text").alias("fingerprint")),
     "label_times": lambda s, d: labels(s, d).where("seconds_spent IS NOT NULL AND seconds_spent >= 0 AND seconds_spent < 36000").select("chunk_id", T.minutes("seconds_spent").alias("spent")),
     "title_forms": lambda s, d: read(s, d, "entity_links").where("target_page_title IS NOT NULL").select("target_page_title").distinct().select("target_page_title", T.normal_title("target_page_title").alias("normal"), T.slug("target_page_title", fold=False).alias("slug")),
+    "title_slugs": lambda s, d: read(s, d, "entity_links").where("target_page_title IS NOT NULL").select("target_page_title").distinct().select("target_page_title", T.slug("target_page_title").alias("slug")),
     "event_windows": lambda s, d: read(s, d, "events").groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")),
     "gold_chunks": lambda s, d: chunks(s, d).where("label_provenance = 'gold'").select("chunk_id", "book_level"),
     "sampling_frame": lambda s, d: chunks(s, d).where("label_provenance IS NULL AND NOT is_speculation").select("chunk_id"),
@@ -386,6 +387,11 @@ _WL = (
 
 ORACLE = {
     "chunk_pack": _PACK,
+    "heading_inventory": f"""WITH {_P}, x0 AS (SELECT pageid, {_NOCOMMENT} AS t FROM p WHERE wikitext IS NOT NULL), x1 AS (SELECT pageid, string_split(t, chr(10)) AS ls FROM x0), x2 AS (SELECT pageid, unnest(ls) AS m, generate_subscripts(ls, 1) AS i FROM x1),
+ x3 AS (SELECT pageid, i, length(regexp_extract(m, '^(=+)', 1)) AS level, m FROM x2 WHERE regexp_matches(m, '^={{2,3}}[ \t]*[^= \t].*={{2,3}}[ \t\r]*$')), x4 AS (SELECT pageid, i, level, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '^=+|=+[ \t\r]*$', '', 'g'), '\\[\\[(?:[^|\\[\\]]*\\|)?([^\\[\\]]*)\\]\\]', '\\1', 'g'), '<[^<>]*>', '', 'g'), chr(39) || '+', '', 'g')) AS heading FROM x3 WHERE length(regexp_extract(m, '(=+)[ \t\r]*$', 1)) = level),
+ n AS (SELECT *, lower(trim(heading)) AS h FROM x4), l AS (SELECT h, '{{' || string_agg('"' || level || '":' || k, ',' ORDER BY level) || '}}' AS levels FROM (SELECT h, level, count(*) AS k FROM n GROUP BY 1, 2) GROUP BY 1),
+ d AS (SELECT h, heading AS display FROM (SELECT h, heading, row_number() OVER (PARTITION BY h ORDER BY count(*) DESC, min((pageid, i))) AS r FROM n GROUP BY 1, 2) WHERE r = 1),
+ t AS (SELECT h, count(*) AS uses, count(DISTINCT pageid) AS pages FROM n GROUP BY 1) SELECT t.h AS heading, uses, pages, levels, display, t.h IN ('speculation', 'theories', 'possible origins') AS speculative FROM t JOIN l USING (h) JOIN d USING (h)""",
     "wikitext_links": f"WITH {_WL} SELECT page_id, pos, raw_target, display, bare AS target, action FROM wk",
     "wikitext_edges": f"WITH {_WL} SELECT page_id AS src, target_id AS dst, count(*) AS links, list(display ORDER BY pos) AS displays FROM wr WHERE target_id IS NOT NULL AND target_id <> page_id GROUP BY 1, 2",
     "link_outcomes": f"WITH {_WL} SELECT CASE WHEN action <> 'candidate' THEN 'skipped ' || action WHEN target_id IS NULL THEN 'unresolved' WHEN target_id = page_id THEN 'self link' ELSE method END AS outcome, count(*) AS n FROM wr GROUP BY 1",
@@ -438,7 +444,7 @@ ORACLE = {
     "text_mentions": f"WITH {_C}, {_P}, {_L}, {_E} SELECT c.chunk_id, e.src, e.dst FROM e JOIN p ON p.pageid = e.dst JOIN c ON c.page_id = e.src WHERE contains(c.text, p.title)",
     "cosine_rank": f"WITH {_RANK} SELECT query_id, rank FROM k",
     "hit_mrr_by_stratum": f"WITH {_RANK} SELECT 'overall' AS stratum, '' AS value, count(*) AS n, {_HIT} FROM k UNION ALL SELECT 'label', label::VARCHAR, count(*), {_HIT} FROM k GROUP BY label",
-    "clearance_rank": f"WITH {_VEC}, w AS (SELECT * FROM v WHERE label <= 4), q AS (SELECT id, e, round(list_dot_product(e, e), 9) AS own FROM w WHERE id % 20 = 0) SELECT q.id AS query_id, 1 + count(*) FILTER (round(list_dot_product(q.e, w.e), 9) > q.own) AS rank FROM q CROSS JOIN w GROUP BY q.id",
+    "clearance_rank": f"WITH {_VEC}, w AS (SELECT * FROM v WHERE label <= 4), q AS (SELECT a.id, a.e, round(list_dot_product(a.e, t.e), 9) AS own FROM w a JOIN w t ON t.id = a.id + 1 WHERE a.id % 20 = 0) SELECT q.id AS query_id, 1 + count(*) FILTER (round(list_dot_product(q.e, w.e), 9) > q.own) AS rank FROM q CROSS JOIN w GROUP BY q.id",
     "stale_hashes": f"WITH {_C} SELECT chunk_id FROM c WHERE content_hash <> sha256(text)",
     "dup_hash_groups": "SELECT sha256(text) AS content_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "duplicate_rows": "SELECT chunk_id, count(*) AS n FROM chunks GROUP BY 1 HAVING count(*) > 1",
@@ -474,6 +480,7 @@ ORACLE = {
     "prompt_fingerprints": f"WITH {_C} SELECT chunk_id, left(sha256(text), 12) AS fingerprint FROM c WHERE text IS NOT NULL",
     "label_times": f"WITH {_M} SELECT chunk_id, printf('%02d:%02d', (floor(seconds_spent)::INT // 60)::INT, (floor(seconds_spent)::INT % 60)::INT) AS spent FROM m WHERE seconds_spent >= 0 AND seconds_spent < 36000",
     "title_forms": f"SELECT target_page_title, upper(left(x, 1)) || substr(x, 2) AS normal, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT target_page_title, {_tsplit('target_page_title')} AS x, regexp_replace(regexp_replace(lower(target_page_title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM (SELECT DISTINCT target_page_title FROM entity_links WHERE target_page_title IS NOT NULL))",
+    "title_slugs": "SELECT target_page_title, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT target_page_title, regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(target_page_title), '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM (SELECT DISTINCT target_page_title FROM entity_links WHERE target_page_title IS NOT NULL))",
     "event_windows": "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "gold_chunks": f"WITH {_C} SELECT chunk_id, book_level FROM c WHERE label_provenance = 'gold'",
     "sampling_frame": f"WITH {_C} SELECT chunk_id FROM c WHERE label_provenance IS NULL AND NOT is_speculation",
