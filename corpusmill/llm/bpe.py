@@ -13,13 +13,15 @@ Defined cases
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.runtime import ship
 
@@ -125,13 +127,21 @@ _encoders: dict[str, PrefixEncoder] = {}
 def encoder(vocabulary: str = VOCABULARY) -> PrefixEncoder:
     """One encoder for each worker process and vocabulary."""
     if vocabulary not in _encoders:
-        _encoders[vocabulary] = PrefixEncoder(vocabulary)
+        # an executor without the file at this path has the copy that the driver serves
+        _encoders[vocabulary] = PrefixEncoder(vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary)))
     return _encoders[vocabulary]
 
 
+def share(spark: SparkSession, vocabulary: str) -> None:
+    """Let the driver serve the vocabulary file to executors that lack it."""
+    if os.path.exists(vocabulary):
+        spark.sparkContext.addFile(vocabulary)
+
+
 def encode_documents(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Rows (id_col, ids ARRAY<INT>), one for each input row."""
     ship(df.sparkSession)
+    share(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmill.llm.bpe import VOCABULARY, encoder
+from corpusmill.llm.bpe import VOCABULARY, encoder, share
 from corpusmill.runtime import cut, ship
 
 DIMENSIONS, BITS = 3, 10
@@ -80,6 +80,7 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 def measure(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Rows (item, tokens, curve): each document's number of tokens and its place on the curve."""
     ship(df.sparkSession)
+    share(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots(vocabulary)
