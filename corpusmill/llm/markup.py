@@ -341,7 +341,7 @@ def made_up(rng: random.Random, words: list[str], n: int) -> list[str]:
     w = lambda: rng.choice(words)
     marks = [
         lambda: f"[[{w()}|{w()}]]", lambda: f"[[{w()}", lambda: f"{w()}]]", lambda: f"[[Category:{w()}]]", lambda: f"[[File:{w()}.png|thumb|12px|{w()}]]", lambda: "{{cn}}", lambda: f"{{{{{w()}|{w()}}}}}", lambda: f"{{{{quote|{w()}", lambda: f"{w()}}}}}", lambda: f"{{{{{{{w()}|}}}}}}", lambda: "{{-}}",
-        lambda: f"'''{w()}'''", lambda: f"''{w()} {w()}''", lambda: f"'''{w()}", lambda: f"**{w()} {w()}**", lambda: f"***{w()}***", lambda: f"__{w()}__", lambda: "__NOTOC__", lambda: f"~~{w()}~~", lambda: "~~~~~", lambda: f"`{w()}_12`", lambda: f"\n```\n{w()} = 3\n```\n", lambda: f"\n### {w()}\n", lambda: f"\n== {w()} ==\n", lambda: f"\n=== {w()} ===\n", lambda: f"[{w()}]({w()}.html)", lambda: f"[{w()}](#{w()})", lambda: f"[^{rng.randint(1, 99)}]",
+        lambda: f"'''{w()}'''", lambda: f"''{w()} {w()}''", lambda: f"'''{w()}", lambda: f"**{w()} {w()}**", lambda: f"***{w()}***", lambda: f"__{w()}__", lambda: "__NOTOC__", lambda: f"~~{w()}~~", lambda: "~~~~~", lambda: f"`{w()}_12`", lambda: f"\n```\n{w()} = 3\n```\n", lambda: f"\n### {w()}\n", lambda: f"\n== {w()} ==\n", lambda: f"\n=== {w()} ===\n", lambda: f"[{w()}]({w()}.html)", lambda: f"[{w()}](#{w()})", lambda: f"[{w()} {w()}](/{w()}/{w()})", lambda: f"[^{rng.randint(1, 99)}]",
         lambda: f"[{w()}](https://{w()}.example/3)", lambda: f"![{w()}]({w()}.png)", lambda: f"[https://{w()}.example/x {w()} {w()}]", lambda: f"#REDIRECT [[{w()}]]", lambda: f"|{w()} = {rng.randint(1, 99)}", lambda: f"\n|{w()} = {w()}\n|{w()} = 4\n", lambda: f'\n{{| class="wikitable"\n|-\n! {w()} !! {w()}\n|-\n| 3 || {w()}\n|}}\n', lambda: f"\n| {w()} | {w()} |\n|---|---|\n| 3 | {w()} |\n", lambda: f"\n> **{w()}** {w()}",
         lambda: f"<ref>{w()}, leaf 3</ref>", lambda: f'<ref name="{w()}3" />', lambda: "</ref>", lambda: "<br/>", lambda: "<BR>", lambda: f"<b>{w()}</b>", lambda: f"<u>{w()}", lambda: f'<div class="note">{w()}</div>', lambda: '<span style="font-si', lambda: f"<nowiki>{w()}</nowiki>", lambda: f"<poem>{w()}</poem>", lambda: f"<td align=right>{rng.randint(1, 99)}</td>", lambda: f"<!-- {w()} {w()}: check -->", lambda: f"<!-- {w()}", lambda: "</div>",
         lambda: "&nbsp;", lambda: "&#8220;", lambda: "&mdash;", lambda: "&amp;", lambda: "&lt;i&gt;", lambda: "&#x27;", lambda: f"\\emph{{{w()}}}", lambda: f"\\section*{{{w()}}}", lambda: f"\\textbf{{{w()}}}", lambda: f"\\cite{{{w()}3}}", lambda: f"\\footnote{{{w()}}}", lambda: f"\\href{{https://{w()}.example/3}}{{{w()}}}", lambda: f"\\item {w()}", lambda: "\\end{itemize}", lambda: f"\\begin{{itemize}} \\item {w()}", lambda: "\\(x_{3}^2\\)", lambda: "$$a^{2} + b_{1}$$", lambda: "$\\frac{3}{7}$",

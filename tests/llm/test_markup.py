@@ -23,7 +23,7 @@ def net():
 def test_labeller_on_held_out_forms(net):
     """Planted residue of forms that aren't in the fitting list, in texts of which none was fitted, and texts with signs that aren't markup."""
     rng = random.Random(2)
-    forms = ["&hellip;", "&#8212;", "<kbd>{0}</kbd>", "<s>{0}</s>", "\\textsc{{{0}}}", "\\mathrm{{{0}}}", "{{{{DISPLAYTITLE:{0}}}}}", "[[:Category:{0}]]", "[[{0}#{1}|{1}]]", "'''''{0}'''''", "<gallery>", "</blockquote>", "[{0}](/wiki/{1})", "\n#### {0}\n", "\n====== {0} ======\n", "\\footnote{{{0} {1}}}", "{{{{{0}|{1}|3}}}}", "<!--{0}-->"]
+    forms = ["&hellip;", "&#8212;", "<kbd>{0}</kbd>", "<s>{0}</s>", "\\textsc{{{0}}}", "\\mathrm{{{0}}}", "{{{{DISPLAYTITLE:{0}}}}}", "[[:Category:{0}]]", "[[{0}#{1}|{1}]]", "'''''{0}'''''", "<gallery>", "</blockquote>", "\n#### {0}\n", "\n====== {0} ======\n", "\\footnote{{{0} {1}}}", "{{{{{0}|{1}|3}}}}", "<!--{0}-->"]
     signs = ["({0}; 12)", "[{1} {0}]", "{0} = 7", "9 / 3", "{0}: 5 * 4", "~{0}", "D:\\{0}", "{0}#4", "<- {0}", "{0}_{1}", "5 > 4", "'{0}'", "\n- {0}\n", "\n3. {0}\n"]
     held = []
     for texts, inserts, marked in ((plain_texts(rng, 360), forms, True), (plain_texts(rng, 280), signs, False), (plain_texts(rng, 200), [""], False)):
