@@ -28,8 +28,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """The newest row of each page of the newest snapshot."""
     p = read(spark, d, "pages")
-    last = p.agg(F.max("snapshot_no")).first()[0]
-    new = p.where(F.col("snapshot_no") == F.lit(last)).groupBy("pageid").agg(F.max_by(F.struct("ns", "title", "revid", "wikitext"), F.struct("revid", "wikitext")).alias("r"))
+    new = p.where(F.col("snapshot_no") == p.select(F.max("snapshot_no")).scalar()).groupBy("pageid").agg(F.max_by(F.struct("ns", "title", "revid", "wikitext"), F.struct("revid", "wikitext")).alias("r"))
     return new.select("pageid", "r.*")
 
 

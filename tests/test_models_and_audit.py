@@ -195,3 +195,22 @@ def test_wiki_categories_redirects_and_model_files(tmp_path):
     assert asked == ["u1", "u2"] and (tmp_path / "m.onnx").read_bytes() == b"w"
     with pytest.raises(wiki.InputError):
         wiki.download_model(fetch, {"t.json": ["u1"]}, str(tmp_path))
+
+
+def test_localization_of_a_hub_in_blocks(spark, monkeypatch):
+    """A page's targets are looked for in blocks of any size with the same rows; texts and targets are held once for each block."""
+    names = [f"Mill {i}" for i in range(12)]
+    edges = spark.createDataFrame([(0, i + 1, 2, [n, f"the [[{n}]]"]) for i, n in enumerate(names)], "src long, dst long, links long, displays array<string>")
+    chunks = spark.createDataFrame([(f"0:a:{k}", 0, k, "So " + ", ".join(names[k : k + 5]) + " and MILL 3. Millet 3") for k in range(8)] + [("4:a:0", 4, 0, "The hub, of course"), ("5:a:0", 5, 0, "Subhub")], "chunk_id string, page_id long, chunk_seq int, text string")
+    titles = spark.createDataFrame([(0, "Hub")] + [(i + 1, n) for i, n in enumerate(names)], "page_id long, title string")
+
+    def rows(size):
+        monkeypatch.setattr(lk, "PAGE_TARGETS", size)
+        return sorted(tuple(r) for r in lk.localized(edges, chunks, titles).collect())
+
+    whole = rows(4000)
+    assert rows(1) == rows(5) == whole
+    assert ("4:a:0", 4, 0, "Hub", "reverse", "text") in whole and not any(r[0] == "5:a:0" for r in whole)
+    mine = [r for r in whole if r[2] == 1]
+    assert mine == [("0:a:0", 0, 1, "Mill 0", "forward", "link")]
+    assert sum(r[2] == 4 and r[5] == "text" for r in whole) == 7 and sum(r[2] == 4 and r[5] == "link" for r in whole) == 1

@@ -40,3 +40,58 @@ def test_strings_and_empty_tables(spark):
     assert {tuple(r)[:4] for r in out.collect()} == {("s", "2026-05", " 1:a:0", "missing"), ("s", "2026-06", "", "missing")}
     assert orphan_report(orphan_keys(refs.limit(0), parents)).count() == 0
     assert orphan_keys(refs, parents.limit(0)).count() == 3
+
+
+def test_many_parents_are_reduced_before_they_move(spark, monkeypatch):
+    """Ranges are sized by what is left of both sides, and that is little for few references."""
+    from corpusmill.operators import orphans
+
+    sizes = []
+    sized = orphans.partitions_for
+    monkeypatch.setattr(orphans, "partitions_for", lambda s, n, task: sizes.append(n) or sized(s, n, task))
+    parents = spark.range(300_000).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(None).cast("long").alias("period"))
+    refs = spark.createDataFrame([("t", "1", None, k) for k in ("k5", "k299999", "gone", "k300000")], "tag string, label string, period long, key string")
+    assert {r.ref_key for r in orphan_keys(refs, parents).collect()} == {"gone", "k300000"}
+    assert sizes[0] < 100 * orphans.ROW_BYTES
+
+
+def test_tally_levels_are_upper_bounds(spark):
+    from corpusmill.operators.tally import BITS, LEVELS, tally
+
+    df = spark.range(1000).selectExpr("explode(array_repeat(id, cast(id % 50 as int))) AS h")
+    t = tally(df)
+    import numpy as np
+
+    ids = np.arange(1000)
+    held = LEVELS[t.level(ids)]
+    assert t.total == sum(i % 50 for i in range(1000)) and (held >= ids % 50).all() and (held[ids % 50 < 20] == ids[ids % 50 < 20] % 50).all()
+    assert t.level(np.array([1 << (BITS - 1)]))[0] == 0 and tally(df.limit(0)).total == 0
+
+
+def test_checkpoints_off_local_mode_need_a_shared_folder(spark, monkeypatch):
+    import pytest
+
+    from corpusmill import runtime
+
+    assert runtime.is_local("local") and runtime.is_local("local[4]") and not runtime.is_local("local-cluster[2,1,512]")
+    runtime.cut(spark.range(3))
+    assert runtime.scratch(spark, "x") != runtime.scratch(spark, "x")
+
+    class NoFolder:
+        def isEmpty(self):
+            return True
+
+    class Context:
+        master = "yarn"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("S", (), {"getCheckpointDir": staticmethod(NoFolder)})
+
+        def getConf(self):
+            return {}
+
+    fake = type("Session", (), {"sparkContext": Context(), "conf": {}})()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime._shared_folder(fake)
