@@ -33,7 +33,7 @@ def boundary_strength(text: str, starts: np.ndarray, ends: np.ndarray) -> np.nda
     strength = np.zeros(len(ends), "int8")
     for i, (end, nxt) in enumerate(zip(ends.tolist(), [*starts[1:].tolist(), len(text)])):
         gap = text[end:nxt]
-        if "\n" in gap or "\r" in gap or " " in gap or "\x85" in gap:
+        if any(mark in gap for mark in ("\n", "\r", "\x85", "\u2028", "\u2029")):
             strength[i] = 3 if gap.replace("\r\n", "\n").replace("\r", "\n").count("\n") > 1 else 2
         elif _closing.search(text[max(0, end - 6) : end]):
             strength[i] = 1
